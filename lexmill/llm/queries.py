@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, media
+from lexmill.llm import bpe, chat, language, media, quality
 from lexmill.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -28,8 +33,13 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(rows.unionByName(more)))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op4_byte_bpe": op4_byte_bpe, "op8_chat_windows": op8_chat_windows}
+    return {"op1_media_columns": op1_media_columns, "op4_byte_bpe": op4_byte_bpe, "op6_language_id": op6_language_id, "op8_chat_windows": op8_chat_windows, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
