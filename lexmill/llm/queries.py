@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, language, media, quality
+from lexmill.llm import bpe, chat, language, media, pages, quality
 from lexmill.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -39,7 +43,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op4_byte_bpe": op4_byte_bpe, "op6_language_id": op6_language_id, "op8_chat_windows": op8_chat_windows, "op9_quality": op9_quality}
+    return {"op1_media_columns": op1_media_columns, "op4_byte_bpe": op4_byte_bpe, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op8_chat_windows": op8_chat_windows, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
