@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, language, media, pages, quality
+from lexmill.llm import bpe, chat, language, media, mixing, nearest, pages, quality
 from lexmill.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
@@ -42,8 +46,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.search(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op4_byte_bpe": op4_byte_bpe, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op8_chat_windows": op8_chat_windows, "op9_quality": op9_quality}
+    return {"op1_media_columns": op1_media_columns, "op4_byte_bpe": op4_byte_bpe, "op5_mixing": op5_mixing, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op8_chat_windows": op8_chat_windows, "op9_quality": op9_quality, "op10_exact_top_k": op10_exact_top_k}
 
 
 def oracle_sql() -> dict[str, str]:
