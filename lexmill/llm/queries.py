@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, jaccard, language, media, mixing, nearest, pages, quality
+from lexmill.llm import bpe, chat, jaccard, language, media, mixing, nearest, pages, quality, repeats
 from lexmill.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
@@ -56,7 +60,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op2_ngram_jaccard": op2_ngram_jaccard, "op4_byte_bpe": op4_byte_bpe, "op5_mixing": op5_mixing, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op8_chat_windows": op8_chat_windows, "op9_quality": op9_quality, "op10_exact_top_k": op10_exact_top_k}
+    return {"op1_media_columns": op1_media_columns, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_mixing": op5_mixing, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op8_chat_windows": op8_chat_windows, "op9_quality": op9_quality, "op10_exact_top_k": op10_exact_top_k}
 
 
 def oracle_sql() -> dict[str, str]:
