@@ -3,7 +3,8 @@
 A document is its set of word shingles. In one global order of shingles (rare ones first) the first
 ``n - ceil(t * n) + l`` of a set are its l-prefix: two sets that reach the threshold share at least l tokens of their
 l-prefixes. Each document chooses its own l: the higher the estimated cost of its candidates, the longer its prefix, and a
-pair needs as many shared prefix tokens as the smaller of both l before it is verified.
+pair needs as many shared prefix tokens as the smaller of both l before it is verified. (l counts distinct prefix tokens
+shared, so a wrong estimate costs time and never a link.)
 
 1. :func:`common` counts shingles of half of the hash space over all documents and keeps those of many documents, with a
    bound; they only decide the order (rare first), never a result.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import shingles
-from lexmill.llm.common import sliced, stored
+from lexmill.llm.common import release, sliced, stored
 from lexmill.llm.components import components
 
 #: The threshold in hundredths.
@@ -40,10 +41,13 @@ COMMON, MOST_COMMON = 8, 1_000_000
 PAIRS, HUB = 24, 64
 #: Classes in a block of a cluster.
 BLOCK = 96
-#: Estimated candidates up to which a prefix isn't lengthened, and the longest lengthening as a share of the set.
-CHEAP, LONGER = 32, 8
+#: A prefix is lengthened by a token for so many estimated candidates, at most by this part of the set, and never by more than a byte holds.
+CHEAP, LONGER, LONGEST = 4, 8, 254
 _FLUSH = 1 << 20
 _REGION = np.uint64(1)
+#: A prefix token on its way: 40 bits of its hash (the bucket knows some more), class, size as a logarithm, l.
+ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("c", "<i8"), ("n", "<u2"), ("l", "u1")])
+_LOG = 4_000
 
 
 def _packed(rows: list[tuple[np.ndarray, ...]], parts: int):
@@ -120,10 +124,9 @@ def prefix(s: np.ndarray, token: np.ndarray, count: np.ndarray) -> tuple[np.ndar
         hit = token[at] == s
         df[hit] = count[at[hit]]
     order = np.lexsort((s, df, outside))
-    cost = int(df[order[: base + 1]].sum())
-    match = 1
-    if cost > CHEAP:
-        match = 1 + min(n // LONGER, int(np.log2(cost / CHEAP) * 2))
+    # Every token may bring a candidate, a common one as many as it has documents.
+    cost = base + 1 + int(df[order[: base + 1]].sum())
+    match = 1 + min(n // LONGER, cost // CHEAP, LONGEST)
     return s[order[: base + match]], match
 
 
@@ -131,29 +134,32 @@ def candidates(docs: DataFrame, token: np.ndarray, count: np.ndarray, key: str =
     """kind 0: pairs of classes (a, b) with shared tokens m and needed ones; 1: star edges; 2: documents (a: class, null without words; b: doc_id; m: shingles)."""
     parts = _parts(docs)
     shared = docs.sparkSession.sparkContext.broadcast((token, count))
-    schema = "bucket int, kind int, h binary, c binary, n binary, l binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    schema = "bucket int, kind int, data binary"
+    document = np.dtype([("id", "<i8"), ("null", "u1"), ("c", "<i8"), ("n", "<u4")])
 
     def deal(batches):
         token, count = shared.value
         rows, own, held, seen = [], [], 0, set()
 
         def out():
-            got = [(b, 0, *[x.tobytes() for x in c]) for b, c in (_packed(rows, parts) if rows else [])]
-            if own:
-                ids, cls, n = ([r[i] for r in own] for i in range(3))
-                bits = np.array([x is None for x in ids], np.uint8)
-                got.append((abs(cls[0]) % parts, 1, np.array([x or 0 for x in ids], np.int64).tobytes(), np.array(cls, np.int64).tobytes(), np.array(n, np.uint32).tobytes(), bits.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=names)
+            got = []
+            if rows:
+                for b, (h, c, n, match) in _packed(rows, parts):
+                    e = np.zeros(len(h), ENTRY)
+                    e["low"], e["high"], e["c"], e["l"] = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) & np.uint64(0xFF), c, match
+                    e["n"] = np.log(n) * _LOG
+                    got.append((b, 0, e.tobytes()))
+            got.append((abs(own[0][2]) % parts, 1, np.array(own, document).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
         for part, sets in _texts(batches, 1):
             for i, s in zip(part.column(0).to_pylist(), sets, strict=True):
                 cls = shingles.class_key(s) if len(s) else 0
-                own.append((i, cls, len(s)))
+                own.append((i or 0, i is None, cls, len(s)))
                 if len(s) and cls not in seen:
                     seen.add(cls)
                     p, match = prefix(s, token, count)
-                    rows.append((p, np.full(len(p), cls, np.int64), np.full(len(p), len(s), np.uint32), np.full(len(p), match, np.uint16)))
+                    rows.append((p, np.full(len(p), cls, np.int64), np.full(len(p), len(s), np.uint32), np.full(len(p), match, np.uint8)))
                     held += len(p)
             if held > _FLUSH // 2 or len(own) > 20_000:
                 yield out()
@@ -162,17 +168,18 @@ def candidates(docs: DataFrame, token: np.ndarray, count: np.ndarray, key: str =
             yield out()
 
     def meet(batches):
-        held, docs_ = [], []
+        held = []
         for batch in batches:
-            for kind, *x in zip(*[batch.column(i).to_pylist() for i in range(1, 6)], strict=True):
+            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind:
-                    docs_.append((np.frombuffer(x[0], np.int64), np.frombuffer(x[1], np.int64), np.frombuffer(x[2], np.uint32), np.frombuffer(x[3], np.uint8)))
+                    d = np.frombuffer(data, document)
+                    yield _out(2, pa.array(d["c"], mask=d["n"] == 0), pa.array(d["id"], mask=d["null"] == 1), d["n"], np.zeros(len(d)))
                 else:
-                    held.append((np.frombuffer(x[0], np.uint64), np.frombuffer(x[1], np.int64), np.frombuffer(x[2], np.uint32), np.frombuffer(x[3], np.uint16)))
-        for ids, cls, n, null in docs_:
-            yield _out(2, pa.array(cls, mask=n == 0), pa.array(ids, mask=null == 1), n, np.zeros(len(n)))
+                    held.append(np.frombuffer(data, ENTRY))
         if held:
-            yield from _meet(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            e = np.concatenate(held)
+            # Different buckets' tokens may agree in 40 bits; they can't be told apart here and only add candidates.
+            yield from _meet(e["low"].astype(np.uint64) | (e["high"].astype(np.uint64) << np.uint64(32)), e["c"], e["n"], e["l"])
 
     rows = docs.select(F.col(key).cast("bigint").alias(key), text)
     return rows.mapInArrow(deal, schema).repartition("bucket").mapInArrow(meet, "kind int, a bigint, b bigint, m bigint, need bigint")
@@ -197,7 +204,7 @@ def _meet(h, c, n, match):
         at = begins[sizes == k]
         i, j = np.triu_indices(k, 1)
         x, y = (at[:, None] + i).reshape(-1), (at[:, None] + j).reshape(-1)
-        near = n[x].astype(np.int64) * 100 >= n[y].astype(np.int64) * PERCENT
+        near = n[y].astype(np.int64) - n[x].astype(np.int64) <= 1 + int(_LOG * np.log(100 / PERCENT) + 1)
         x, y = x[near], y[near]
         found.append(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y]), np.minimum(match[x], match[y]).astype(np.int64)], 1))
     if found:
@@ -304,7 +311,9 @@ def verify(docs: DataFrame, member: DataFrame, key: str = "doc_id", text: str =
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row for each document."""
     token, count = common(docs, text)
+    release(docs.sparkSession)
     found = stored(candidates(docs, token, count, key, text), "candidates")
+    release(docs.sparkSession)
     rows = found.where("kind = 2").select(F.col("b").alias("doc_id"), F.col("a").alias("class"), F.col("m").alias("n_shingles"))
     classes = stored(rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("m").alias("m"), F.min("need").alias("need")).where("m >= need").select("a", "b")
@@ -313,6 +322,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     member = clusters.join(sizes, "root").join(classes, clusters["v"] == classes["class"]).select(F.col("first").alias("doc_id"), "class", "copies", F.col("root").alias("cluster"), "size").where(F.col("doc_id").isNotNull())
     linked = stored(verify(docs, member, key, text), "links")
+    release(docs.sparkSession)
     roots = components(linked.where("a <> b").select("a", "b"))
     n = linked.groupBy("a").agg(F.sum("links").alias("links"))
     known = classes.join(roots, classes["class"] == roots["v"], "left").join(n, classes["class"] == n["a"], "left").select("class", "first", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
