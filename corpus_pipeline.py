@@ -1,15 +1,66 @@
-"""Corpus preparation: the stages in order, each over all that the one before kept."""
+"""Corpus preparation: the stages in order, each over all that the one before kept.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
+the columns of ``documents``. :func:`run` writes each stage's result as Parquet in the shared scratch folder and reads it
+again as the next one's documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import bpe, jaccard, mixing, quality, repeats
+from lexmill.llm.common import release, stored, table
+
+#: Rank file of the encoding.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go. It learns from the labelled rows among ``docs``."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each component only the document of the smallest doc_id stays, once."""
+    return jaccard.representatives(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: repeated passages are cut out of the texts; a document that is nothing but repeats goes."""
+    return repeats.cut(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: documents as often as the mix takes them, in its order."""
+    return mixing.mixture(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE encoding, checked by decoding: doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256."""
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    return bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram jaccard join", one_of_each),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level bpe", encode),
+]
+#: No stage but the mix could be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, f"stage{i}")
+            release(spark)
     return docs

@@ -330,3 +330,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     done = known.join(least, "root").select(F.col("class").alias("_class"), "component_id", "n_links")
     return rows.join(done, rows["class"] == done["_class"], "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component's smallest, once each; rows without words stay, as do rows of a null doc_id that no other row is linked with."""
+    rows = join(docs.select(key, text), key, text)
+    stay = stored(rows.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "stay")
+    kept = docs.join(stay.withColumnRenamed("doc_id", "_stay"), docs[key].cast("bigint").eqNullSafe(F.col("_stay")), "left_semi")
+    twice = kept.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    # Rows that repeat a doc_id: of equal texts one stays.
+    if twice.isEmpty():
+        return kept
+    odd = kept.join(twice.select(F.col(key).alias("_twice")), kept[key].eqNullSafe(F.col("_twice")), "left_semi")
+    rest = kept.join(twice.select(F.col(key).alias("_twice")), kept[key].eqNullSafe(F.col("_twice")), "left_anti")
+    return rest.unionByName(odd.dropDuplicates([key, text]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import grams
-from lexmill.llm.common import held_out, map_arrow
+from lexmill.llm.common import held_out, map_arrow, sliced
 
 #: Bound of the labelled rows that training collects to the driver.
 SAMPLE = 2500
@@ -84,3 +84,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     return map_arrow(docs.select(key, held_out(key).alias("held_out"), text), run, f"`{key}` {kind}, held_out boolean, score double, predicted int", text)
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted to be of class 1, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in sliced(batch, text, 4 << 20):
+                s = shared.value.score(part.column(part.schema.names.index(text)).to_pylist())
+                yield part.filter(pa.array(s >= THRESHOLD))
+
+    return docs.mapInArrow(run, schema)

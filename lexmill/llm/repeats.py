@@ -65,9 +65,11 @@ def _deal(kind: int, rows: np.ndarray, key: np.ndarray, parts: int) -> list[tupl
 
 def _by_text(kind: int, rid: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(rid, kind, packed rows) for each text."""
+    if not len(rid):
+        return []
     order = np.argsort(rid, kind="stable")
     rid, rows = rid[order], rows[order]
-    cut = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
     return [(int(rid[a]), kind, rows[a:e].tobytes()) for a, e in zip(cut, np.concatenate([cut[1:], [len(rid)]]), strict=True)]
 
 
@@ -383,3 +385,21 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     done = remove(docs.select(key, text), key, text)
     return done.select(key, F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
+
+
+def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with repeated bytes cut out of ``text``; a text that is nothing but repeats goes with its row.
+
+    A cut may fall inside a character: what is left of it goes too. Where there is a column ``length``, it becomes the new
+    text's number of code points. A null text becomes an empty one.
+    """
+    done = remove(docs, key, text)
+    columns = {c: F.col(c) for c in docs.columns}
+
+    def decode(cols, n):
+        return {c: cols[c] for c in docs.columns if c != text} | {text: [k.decode("utf-8", "ignore") for k in cols["_kept"]], "_removed": cols["_removed"]}
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "_removed bigint"])
+    out = map_arrow(done, decode, schema, "_kept")
+    out = out.where((F.col("_removed") == 0) | (F.length(text) > 0)).drop("_removed")
+    return out.withColumn(length, F.when(F.col(length).isNotNull(), F.length(text)).cast(docs.schema[length].dataType)) if length in docs.columns else out
