@@ -394,10 +394,11 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str =
     text's number of code points. A null text becomes an empty one.
     """
     done = remove(docs, key, text)
-    columns = {c: F.col(c) for c in docs.columns}
+    columns = docs.columns
+    others = [c for c in columns if c != text]
 
     def decode(cols, n):
-        return {c: cols[c] for c in docs.columns if c != text} | {text: [k.decode("utf-8", "ignore") for k in cols["_kept"]], "_removed": cols["_removed"]}
+        return {c: cols[c] for c in others} | {text: [k.decode("utf-8", "ignore") for k in cols["_kept"]], "_removed": cols["_removed"]}
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "_removed bigint"])
     out = map_arrow(done, decode, schema, "_kept")
