@@ -1,4 +1,4 @@
-"""Connected components over an edge table, by labels that take their neighbours' least and then their label's label."""
+"""Connected components over an edge table by contraction: each vertex goes to its least neighbour, and what is left between those is contracted again."""
 
 from __future__ import annotations
 
@@ -9,16 +9,21 @@ from lexmill.llm.common import stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``v`` and ``root`` (the least vertex of its component) for every vertex of ``edges`` (a, b). Every round is written, so lineage stays short."""
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("root")), "labels")
+    """``v`` and ``root`` (the least vertex of its component) for every vertex of ``edges`` (a, b). Every round is written, so lineage stays short; edges shrink from round to round."""
+    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    steps = []
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("v").alias("u"), F.col("root").alias("r")), "u").groupBy("v").agg(F.min("r").alias("m"))
-        step = labels.join(near, "v").select("v", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        up = labels.select(F.col("v").alias("root"), F.col("root").alias("top"))
-        new = step.join(up, "root").select("v", F.least("root", "top").alias("root"), (F.least("root", "top") < F.col("old")).alias("moved"))
-        new = stored(new, "labels")
-        labels = new.select("v", "root")
-        if new.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = edges.select(F.col("a").alias("v"), F.col("a").alias("m")).union(edges.select("b", "a"))
+        steps.append(stored(both.groupBy("v").agg(F.min("m").alias("to")), "labels"))
+        a, b = (steps[-1].select(F.col("v").alias(x), F.col("to").alias(f"{x}2")) for x in "ab")
+        moved = edges.join(a, "a").join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
+        edges = stored(moved, "edges")
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    found = steps.pop()
+    while steps:  # a vertex of an earlier round goes where its neighbour went
+        last = found.select(F.col("v").alias("to"), F.col("to").alias("end"))
+        found = stored(steps.pop().join(last, "to", "left").select("v", F.coalesce("end", "to").alias("to")), "labels")
+    return found.withColumnRenamed("to", "root")

@@ -9,7 +9,8 @@ shared, so a wrong estimate costs time and never a link.)
 1. :func:`common` counts shingles of half of the hash space over all documents and keeps those of many documents, with a
    bound; they only decide the order (rare first), never a result.
 2. :func:`candidates` sends prefix tokens in packed blocks to the task of their hash. A token of a few classes gives their
-   pairs; one of many only a two-level star, so no token makes all pairs.
+   pairs; those of many only say that their classes belong together: a task gives a star for each group of classes that
+   such tokens connect, so no token makes all pairs.
 3. Candidates' connected components are clusters. A cluster's sets meet in blocks of about :data:`BLOCK` classes; a task
    holds two blocks and counts exact intersections by a matrix product, and gives a spanning forest of its links and each
    class's number of links.
@@ -37,10 +38,10 @@ from lexmill.llm.components import components
 PERCENT = 75
 #: A shingle is common from so many documents on; at most so many common ones (the most frequent) are sent to all tasks.
 COMMON, MOST_COMMON = 8, 1_000_000
-#: A token with more classes gives a star; hubs of a star have so many neighbours.
-PAIRS, HUB = 24, 64
+#: A token with more classes gives no pairs.
+PAIRS = 24
 #: Classes in a block of a cluster.
-BLOCK = 96
+BLOCK = 256
 #: A prefix is lengthened by a token for so many estimated candidates, at most by this part of the set, and never by more than a byte holds.
 CHEAP, LONGER, LONGEST = 4, 8, 254
 _FLUSH = 1 << 20
@@ -131,7 +132,7 @@ def prefix(s: np.ndarray, token: np.ndarray, count: np.ndarray) -> tuple[np.ndar
 
 
 def candidates(docs: DataFrame, token: np.ndarray, count: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """kind 0: pairs of classes (a, b) with shared tokens m and needed ones; 1: star edges; 2: documents (a: class, null without words; b: doc_id; m: shingles)."""
+    """kind 0: pairs of classes (a, b) with shared tokens m and needed ones; 1: edges of such stars; 2: documents (a: class, null without words; b: doc_id; m: shingles)."""
     parts = _parts(docs)
     shared = docs.sparkSession.sparkContext.broadcast((token, count))
     schema = "bucket int, kind int, data binary"
@@ -212,15 +213,23 @@ def _meet(h, c, n, match):
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])) if len(rows) else np.zeros(0, np.int64)
         yield _out(0, rows[first, 0], rows[first, 1], np.diff(np.concatenate([first, [len(rows)]])), rows[first, 2])
-    stars = set()
-    for at, k in zip(begins[sizes > PAIRS].tolist(), sizes[sizes > PAIRS].tolist(), strict=True):
-        own = c[at : at + k]
-        hubs = own[::HUB]
-        stars.update(zip(np.repeat(hubs, HUB)[:k].tolist(), own.tolist(), strict=True))
-        stars.update((own[0].item(), x) for x in hubs.tolist())
-    if stars := sorted({(min(e), max(e)) for e in stars if e[0] != e[1]}):
-        e = np.array(stars, np.int64)
-        yield _out(1, e[:, 0], e[:, 1], np.ones(len(e)), np.ones(len(e)))
+    many = np.repeat(sizes > PAIRS, sizes)
+    if many.any():
+        # All of this task's common tokens at once: a class takes the least of its tokens' classes until nothing moves.
+        token = np.repeat(np.arange(len(sizes)), sizes)[many]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.concatenate([first, [len(token)]]))
+        cls, at = np.unique(c[many], return_inverse=True)
+        label = np.arange(len(cls))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, at, np.repeat(np.minimum.reduceat(label[at], first), count))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        own = label != np.arange(len(cls))
+        yield _out(1, cls[own], cls[label[own]], np.ones(own.sum()), np.ones(own.sum()))
 
 
 def links(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
