@@ -46,7 +46,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, object]], schema: str, heavy: str | None = None, limit: int = 4 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, object]], schema: str, heavy: str | None = None, limit: int = 1 << 20) -> DataFrame:
     """``mapInArrow`` with slices of at most about ``limit`` bytes of column ``heavy`` (a single longer row stays whole).
 
     ``fn`` gets the slice's columns as Python lists and its number of rows; it returns columns for ``schema``.

@@ -70,7 +70,7 @@ def _parts(df: DataFrame) -> int:
 
 def _texts(batches, column: int):
     for batch in batches:
-        for part in sliced(batch, batch.schema.names[column], 2 << 20):
+        for part in sliced(batch, batch.schema.names[column], 1 << 20):
             yield part, shingles.sets(part.column(column).to_pylist())
 
 
@@ -276,7 +276,7 @@ def verify(docs: DataFrame, member: DataFrame, key: str = "doc_id", text: str =
 
     def to_sets(batches):
         for batch in batches:
-            for part in sliced(batch, "text", 2 << 20):
+            for part in sliced(batch, "text", 1 << 20):
                 cols = {x: part.column(i) for i, x in enumerate(part.schema.names)}
                 sets = shingles.sets(cols["text"].to_pylist())
                 # A row of the same doc_id but another text isn't the class's.

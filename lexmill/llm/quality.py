@@ -95,7 +95,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in sliced(batch, text, 4 << 20):
+            for part in sliced(batch, text, 1 << 20):
                 s = shared.value.score(part.column(part.schema.names.index(text)).to_pylist())
                 yield part.filter(pa.array(s >= THRESHOLD))
 

@@ -38,7 +38,7 @@ LEFT = LENGTH - GRAM
 SEGMENT = 2 * LEFT + GRAM
 #: Contents of an anchor up to which they meet in one task, and up to which each pair is compared.
 CONTENTS, PAIRS = 64, 8
-_SLICE, _FLUSH = 2 << 20, 400_000
+_SLICE, _FLUSH = 1 << 20, 400_000
 _NAMES = ("bucket", "kind", "data")
 _SCHEMA = "bucket int, kind int, data binary"
 ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("n", "u1"), ("off", "u1"), ("big", "u1")])
