@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import map_arrow
 
 #: Distinct chunks whose ids a worker keeps before it starts anew; bounds memory only.
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 180_000
 #: A chunk longer than this isn't kept.
 KEPT_LENGTH = 64
 #: The white space of the pattern's ``\\s``.
