@@ -107,9 +107,11 @@ def mix(docs: DataFrame, seed: int = 17, **names: str) -> DataFrame:
 def mixture(docs: DataFrame, seed: int = 17, **names: str) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, range-sorted by finish time."""
     done = cut(schedule(docs, seed, **names)).where("kept AND size > 0")
-    times = done.groupBy("row").agg(F.collect_list(F.struct("_copy", "finish")).alias("_times"))
+    times = done.groupBy(F.col("row").alias("_mix_row")).agg(F.collect_list(F.struct("_copy", "finish")).alias("_mix_times"))
     columns = docs.columns
     # A row may be there more than once; copy i takes the times of number i. Equal rows are few, as their hash takes in every column.
-    numbered = docs.withColumn("row", F.xxhash64(*[F.col(c) for c in columns])).withColumn("_i", F.row_number().over(Window.partitionBy("row").orderBy(F.lit(0))))
-    each = numbered.join(times, "row").withColumn("_t", F.explode(F.expr("filter(_times, t -> t._copy = _i)"))).withColumn("_finish", F.col("_t.finish"))
-    return each.repartitionByRange("_finish", "row").sortWithinPartitions("_finish", "row").select(*columns)
+    numbered = docs.withColumn("_mix_row", F.xxhash64(*[F.col(c) for c in columns]))
+    numbered = numbered.withColumn("_mix_copy", F.row_number().over(Window.partitionBy("_mix_row").orderBy(F.lit(0))))
+    each = numbered.join(times, "_mix_row").withColumn("_mix_item", F.explode(F.filter("_mix_times", lambda t: t["_copy"] == F.col("_mix_copy"))))
+    each = each.withColumn("_mix_finish", F.col("_mix_item.finish"))
+    return each.repartitionByRange("_mix_finish", "_mix_row").sortWithinPartitions("_mix_finish", "_mix_row").select(*columns)

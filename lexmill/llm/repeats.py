@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import grams, winnow
-from lexmill.llm.common import map_arrow, sliced, stored
+from lexmill.llm.common import map_arrow, release, sliced, stored
 from lexmill.llm.suffixes import Text
 
 LENGTH, GRAM = 100, 32
@@ -342,30 +342,30 @@ def kept(text: bytes, marks: list[bytes]) -> tuple[np.ndarray, int]:
     return ~gone, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Adds ``rid``: an order of documents as one number, doc_id itself unless a doc_id repeats or is null."""
-    rows = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    odd = rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``rid`` to (_row, _id, text): an order of documents as one number, the id itself unless an id repeats or is null."""
+    odd = rows.groupBy("_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("_id").isNull())
     if odd.isEmpty():
-        return rows.withColumn("rid", F.col(key).cast("bigint"))
+        return rows.withColumn("rid", F.col("_id"))
     rows = rows.withColumn("_text", F.xxhash64("text"))
-    ids = rows.select(F.col(key).alias("_key"), F.col("_text").alias("_hash")).distinct().orderBy(F.col("_key").asc_nulls_first(), "_hash")
+    ids = rows.select(F.col("_id").alias("_key"), F.col("_text").alias("_hash")).distinct().orderBy(F.col("_key").asc_nulls_first(), "_hash")
     ids = stored(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_key bigint, _hash bigint, rid bigint"), "ids")
-    return rows.join(ids, rows[key].eqNullSafe(ids["_key"]) & (rows["_text"] == ids["_hash"])).drop("_key", "_hash", "_text")
+    return rows.join(ids, rows["_id"].eqNullSafe(ids["_key"]) & (rows["_text"] == ids["_hash"])).drop("_key", "_hash", "_text")
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``text`` replaced by ``_kept`` (binary, the remaining bytes), ``_bytes``, ``_removed`` and ``_spans``."""
+    """_row (a struct of the columns but ``text``), _kept (binary, the remaining bytes), _bytes, _removed and _spans of each row."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _numbered(docs, key, text)
+    own = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("_row")
+    rows = _numbered(docs.select(own, F.col(key).cast("bigint").alias("_id"), F.col(text).alias("text")))
     found = stored(_anchors(rows, parts), "anchors")
+    release(docs.sparkSession)
     marks = found.where(F.col("kind") == MARKS).union(_windows(rows.select("rid", "text"), found.where(F.col("kind") != MARKS), parts))
     lists = marks.groupBy("rid").agg(F.collect_list("data").alias("_marks"))
-    both = rows.join(lists, "rid", "left").drop("rid")
-    others = [c for c in docs.columns if c != text]
+    both = rows.join(lists, "rid", "left").select("_row", "text", "_marks")
 
     def cut(cols, n):
-        out = {c: cols[c] for c in others} | {"_kept": [], "_bytes": [], "_removed": [], "_spans": []}
+        out = {"_row": cols["_row"]} | {c: [] for c in ("_kept", "_bytes", "_removed", "_spans")}
         for t, m in zip(cols["text"], cols["_marks"], strict=True):
             raw, spans = (t or "").encode(), 0
             stay = raw
@@ -376,15 +376,14 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 out[c].append(v)
         return out
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "_kept binary, _bytes bigint, _removed bigint, _spans bigint"])
-    return map_arrow(both.select(*others, "text", "_marks"), cut, schema, "text")
+    kind = rows.schema["_row"].dataType.simpleString()
+    return map_arrow(both, cut, f"_row {kind}, _kept binary, _bytes bigint, _removed bigint, _spans bigint", "text")
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = remove(docs.select(key, text), key, text)
-    return done.select(key, F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
-
+    return done.select(F.col("_row").getField(key).alias(key), F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
@@ -394,13 +393,13 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str =
     text's number of code points. A null text becomes an empty one.
     """
     done = remove(docs, key, text)
-    columns = docs.columns
-    others = [c for c in columns if c != text]
 
     def decode(cols, n):
-        return {c: cols[c] for c in others} | {text: [k.decode("utf-8", "ignore") for k in cols["_kept"]], "_removed": cols["_removed"]}
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "_removed bigint"])
-    out = map_arrow(done, decode, schema, "_kept")
-    out = out.where((F.col("_removed") == 0) | (F.length(text) > 0)).drop("_removed")
-    return out.withColumn(length, F.when(F.col(length).isNotNull(), F.length(text)).cast(docs.schema[length].dataType)) if length in docs.columns else out
+        return {"_row": cols["_row"], "_text": [k.decode("utf-8", "ignore") for k in cols["_kept"]], "_removed": cols["_removed"]}
+
+    kind = done.schema["_row"].dataType.simpleString()
+    out = map_arrow(done, decode, f"_row {kind}, _text string, _removed bigint", "_kept").where((F.col("_removed") == 0) | (F.length("_text") > 0))
+    columns = {c: F.col("_text") if c == text else F.col("_row").getField(c) for c in docs.columns}
+    if length in columns:
+        columns[length] = F.when(columns[length].isNotNull(), F.length("_text")).cast(docs.schema[length].dataType)
+    return out.select(*[v.alias(c) for c, v in columns.items()])
