@@ -5,6 +5,9 @@ Everything here is built-in functions, so plans stay in the JVM and in whole-sta
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,8 +170,12 @@ def light_stem(word) -> Column:
 
 
 def rule_lemma(word) -> Column:
-    """Deterministic lemma: exceptions and irregular forms, else the light stem. Stands in for a statistical model."""
+    """Deterministic lemma: exceptions and irregular forms, else the light stem. Stands in for a statistical model.
+
+    A plural acronym (two capitals or more, then s) loses its s; other words are taken as lower-cased already.
+    """
     w = _col(word)
+    w = F.when(w.rlike("^[A-Z]{2,}s$"), F.lower(F.left(w, F.length(w) - 1))).otherwise(w)
     table = lexicon.IRREGULAR_LEMMAS | lexicon.LEMMA_EXCEPTIONS
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     return F.coalesce(F.try_element_at(known, w), light_stem(w))
@@ -225,6 +232,38 @@ def cut_references(text, least: float = 0.6) -> Column:
     return F.when(cut.isNotNull(), F.array_join(F.slice(rows, 1, cut), "\n")).otherwise(_col(text))
 
 
+#: First parts that keep their hyphen.
+HYPHEN_PREFIXES = tuple(
+    "self non well long short first second third follow high low one two three peer age evidence person family short-term long-term post pre co re ex".split()
+)
+
+
+def join_hyphens(text) -> Column:
+    """Words cut at a line's end: the hyphen stays after certain first parts, or where this text has the hyphenated form more often than the joined one.
+
+    Which replacement is right depends on counts in the same text, so this is a loop over texts in Arrow batches.
+    """
+    cut = re.compile(r"\b([A-Za-z][A-Za-z-]*)-\n([a-z]+)")
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None or "-\n" not in t:
+                return t
+            low = t.lower()
+
+            def choose(m):
+                a, b = m[1], m[2]
+                kept, joined = (len(re.findall(rf"\b{re.escape(x.lower())}\b", low)) for x in (f"{a}-{b}", a + b))
+                return f"{a}-{b}" if a.lower() in HYPHEN_PREFIXES or kept > joined else a + b
+
+            return cut.sub(choose, t)
+
+        return texts.map(one)
+
+    return run(_col(text))
+
+
 def unwrap_lines(text) -> Column:
     """Joins a line that goes on in lower case to an unfinished one before; then bullets' marks go."""
     joined = F.aggregate(

@@ -254,3 +254,36 @@ def test_streaming_index(spark, docs, tmp_path):
 def test_index_on_disk(spark, index, tmp_path):
     index.save(str(tmp_path / "ix"), 2)
     assert retrieval.Index.load(spark, str(tmp_path / "ix")).postings.count() == index.postings.count()
+
+
+def test_probes(spark, docs):
+    from lexmill.operators import views
+
+    assert views.passage(docs, 2, "treated", 16).first()["passage"] == "treated with CBT"
+    assert views.find_sentence(docs, "cbt HELPS").first()["sentence"] == "CBT helps people with panic."
+    assert views.example_snippet(docs, patterns.DOMAIN_PROBLEMS["P1"], "treated").first()["snippet"].startswith("disorder is treated")
+    assert {r["term"] for r in views.special_terms(docs).collect()} >= {"Self-harm", "DSM-IV", "12-week", "1-800-662-4357"}
+    assert one(spark, views.hybrid_tokens("text", ["self-harm"]), "a self-harm, b-c") == ["a", "self-harm", ",", "b", "-", "c"]
+    cases = spark.createDataFrame([("code", "See DSM-5.", ["DSM-5"])], "case string, text string, expected array<string>")
+    assert {r["tokenizer"]: r["whole"] for r in views.tokenizer_check(cases).collect()} == {"whitespace": False, "treebank": True, "custom": True}
+    assert views.stop_views(cases.selectExpr("'you should not stop' AS text")).first()["custom"] == "should not stop"
+    assert one(spark, T.join_hyphens("text"), "medi-\ncine and self-\nharm, co-op; on-\nline online on-line on-line on-line") == "medicine and self-harm, co-op; on-line online on-line on-line on-line"
+
+
+def test_relevance_and_tables(spark, docs):
+    from lexmill.operators import views
+
+    d = docs.select(F.format_string("D%02d", "doc_id").alias("doc_id"), "text", F.array(F.when(F.col("doc_id") == 2, "anxiety").otherwise("x")).alias("topics"))
+    judged = spark.createDataFrame([("panic disorder", "phrase", "D02")], "query string, mode string, doc_id string")
+    got = lambda *a, **k: (lambda r: (sorted(x["doc_id"] for x in r[0].collect()) if r[0] is not None else None, r[1].split(":")[0]))(views.relevance(d, judged, *a, **k))
+    assert got("q", "keyword", [], own="d1, D07") == (["D01"], "own list")
+    assert got("panic  disorder", "phrase", []) == (["D02"], "judgments")
+    assert got("q", "keyword", ["panic"]) == (["D02"], "estimate by topics")
+    assert got("q", "keyword", ["zzz"]) == (None, "none")
+    rows = views.compare_pipelines(d, {"B": pipelines.final, "C": pipelines.lemmas_only}, "panic disorder", "keyword", d.where("doc_id = 'D02'").select("doc_id"))
+    assert {r["pipeline"]: r["precision"] for r in rows.collect()} == {"B": 1.0, "C": 1.0}
+    table = {r["measure"]: (r["B"], r["C"]) for r in views.metric_table(rows).collect()}
+    assert table["recall"] == (1.0, 1.0)
+    q = spark.createDataFrame([("Q1",), ("Q2",)], "query_id string")
+    dense = views.dense_judgments(q, d, spark.createDataFrame([("Q1", "D02")], "query_id string, doc_id string"))
+    assert (dense.count(), dense.agg(F.sum("relevant")).first()[0]) == (10, 1)
