@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE encoding, checked by decoding: doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+    return bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path))
 
 
 STAGES = [

@@ -40,14 +40,31 @@ def byte_table() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def read_ranks(rank_file: str) -> dict[bytes, int]:
+    with open(rank_file, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+class Decoder:
+    """The bytes of each id, from the characters of its token by the reversed byte table."""
+
+    def __init__(self, rank_file: str):
+        table = byte_table()
+        back = {c: b for b, c in enumerate(table)}
+        self.bytes_of = {rank: bytes(back[c] for c in map(table.__getitem__, token)) for token, rank in read_ranks(rank_file).items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of the ids: bytes, as ids of one character may be apart; an unknown id raises KeyError."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class ByteBPE:
     """Encoder and decoder for a rank file (lines of base64 token and rank)."""
 
     def __init__(self, rank_file: str, pattern: str):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        with open(rank_file, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks = read_ranks(rank_file)
         table = byte_table()
         shown = {token: "".join(table[b] for b in token) for token in ranks}
         merges = [
@@ -63,8 +80,7 @@ class ByteBPE:
         self.model = self.tokenizer.model
         self.shown = dict(enumerate(table))
         self.stops = {c: np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in _STOPS}
-        back = {c: b for b, c in enumerate(table)}
-        self.bytes_of = {rank: bytes(back[c] for c in shown[token]) for token, rank in ranks.items()}
+        self.decoder = Decoder(rank_file)
         self.kept: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
@@ -107,12 +123,11 @@ class ByteBPE:
         return [b"".join(map(here.__getitem__, one)) for one in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids: bytes, as ids of one character may be apart; an unknown id raises KeyError."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decoder.decode(ids)
 
     def offsets(self, ids: bytes) -> tuple[list[int], list[int]]:
         """For each id, the byte where it begins, and the character that this byte belongs to (a split character counts at each of its ids)."""
-        sizes = [len(self.bytes_of[i]) for i in np.frombuffer(ids, "<u4").tolist()]
+        sizes = [len(self.decoder.bytes_of[i]) for i in np.frombuffer(ids, "<u4").tolist()]
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.zeros(0, np.int64)
         raw = np.frombuffer(self.decode(ids), np.uint8)
         char = np.cumsum((raw & 0xC0) != 0x80) - 1
@@ -124,6 +139,11 @@ def _codec(rank_file: str, pattern: str) -> ByteBPE:
     return ByteBPE(rank_file, pattern)
 
 
+@lru_cache(2)
+def _decoder(rank_file: str) -> Decoder:
+    return Decoder(rank_file)
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
     """key, n_tokens, ids (binary, little-endian unsigned 32-bit); with ``offsets`` also byte_starts and char_starts."""
 
@@ -138,14 +158,15 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids binary" + ", byte_starts array<bigint>, char_starts array<bigint>" * offsets
-    return map_arrow(docs.select(key, text), run, schema, text)
+    # The tokenizer goes with its partition: workers live on, and what follows needs their memory.
+    return map_arrow(docs.select(key, text), run, schema, text, after=_codec.cache_clear)
 
 
-def decode(encoded: DataFrame, rank_file: str, pattern: str, key: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id") -> DataFrame:
     """Adds ``decoded`` (binary) to the columns key, n_tokens and ids of :func:`encode`; null ids decode to no bytes."""
 
     def run(cols, n):
-        codec = _codec(rank_file, pattern)
+        codec = _decoder(rank_file)
         return cols | {"decoded": [codec.decode(x or b"") for x in cols["ids"]]}
 
     kind = encoded.schema[key].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -46,10 +47,29 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, object]], schema: str, heavy: str | None = None, limit: int = 1 << 20) -> DataFrame:
+def trimmed(run: Callable, after: Callable[[], None] | None = None) -> Callable:
+    """Wraps a function of Arrow batches: after a partition its worker gives freed memory back, as workers live on for other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            del batches
+            if after:
+                after()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
+                _libc.malloc_trim(0)
+
+    return wrapped
+
+
+def map_arrow(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, object]], schema: str, heavy: str | None = None, limit: int = 1 << 20, after: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` with slices of at most about ``limit`` bytes of column ``heavy`` (a single longer row stays whole).
 
     ``fn`` gets the slice's columns as Python lists and its number of rows; it returns columns for ``schema``.
+    ``after`` runs in the worker when a partition is done.
     """
     target = _arrow_schema(df.sparkSession, schema)
 
@@ -59,7 +79,7 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, obje
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}, part.num_rows)
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run, after), schema)
 
 
 def sliced(batch: pa.RecordBatch, heavy: str | None, limit: int) -> Iterator[pa.RecordBatch]:

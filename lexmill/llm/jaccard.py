@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import shingles
-from lexmill.llm.common import release, sliced, stored
+from lexmill.llm.common import release, sliced, stored, trimmed
 from lexmill.llm.components import components
 
 #: The threshold in hundredths.
@@ -106,8 +106,8 @@ def common(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]
             t, n = t[n >= COMMON], n[n >= COMMON]
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-    dealt = docs.select(text).mapInArrow(deal, "bucket int, tokens binary").repartition("bucket")
-    found = stored(dealt.mapInArrow(count, "token bigint, n bigint"), "common")
+    dealt = docs.select(text).mapInArrow(trimmed(deal), "bucket int, tokens binary").repartition("bucket")
+    found = stored(dealt.mapInArrow(trimmed(count), "token bigint, n bigint"), "common")
     got = found.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
     token, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(token)
@@ -183,7 +183,7 @@ def candidates(docs: DataFrame, token: np.ndarray, count: np.ndarray, key: str =
             yield from _meet(e["low"].astype(np.uint64) | (e["high"].astype(np.uint64) << np.uint64(32)), e["c"], e["n"], e["l"])
 
     rows = docs.select(F.col(key).cast("bigint").alias(key), text)
-    return rows.mapInArrow(deal, schema).repartition("bucket").mapInArrow(meet, "kind int, a bigint, b bigint, m bigint, need bigint")
+    return rows.mapInArrow(trimmed(deal), schema).repartition("bucket").mapInArrow(trimmed(meet), "kind int, a bigint, b bigint, m bigint, need bigint")
 
 
 def _out(kind: int, a, b, m, need) -> pa.RecordBatch:
@@ -284,7 +284,7 @@ def verify(docs: DataFrame, member: DataFrame, key: str = "doc_id", text: str =
                 take = pa.array(good, pa.int64())
                 yield pa.RecordBatch.from_arrays([*[cols[x].take(take) for x in ("class", "copies", "cluster", "size")], pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["class", "copies", "cluster", "size", "tokens"])
 
-    made = texts.select("text", "class", "copies", "cluster", "size").mapInArrow(to_sets, "class bigint, copies bigint, cluster bigint, size bigint, tokens binary")
+    made = texts.select("text", "class", "copies", "cluster", "size").mapInArrow(trimmed(to_sets), "class bigint, copies bigint, cluster bigint, size bigint, tokens binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     met = made.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -314,7 +314,7 @@ def verify(docs: DataFrame, member: DataFrame, key: str = "doc_id", text: str =
         if len(rows) > 1:
             yield out()
 
-    return met.mapInArrow(run, "a bigint, b bigint, links bigint")
+    return met.mapInArrow(trimmed(run), "a bigint, b bigint, links bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

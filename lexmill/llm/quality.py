@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import grams
-from lexmill.llm.common import held_out, map_arrow, sliced
+from lexmill.llm.common import held_out, map_arrow, sliced, trimmed
 
 #: Bound of the labelled rows that training collects to the driver.
 SAMPLE = 2500
@@ -99,4 +99,4 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 s = shared.value.score(part.column(part.schema.names.index(text)).to_pylist())
                 yield part.filter(pa.array(s >= THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)

@@ -26,7 +26,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

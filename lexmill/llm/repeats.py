@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import grams, winnow
-from lexmill.llm.common import map_arrow, release, sliced, stored
+from lexmill.llm.common import map_arrow, release, sliced, stored, trimmed
 from lexmill.llm.suffixes import Text
 
 LENGTH, GRAM = 100, 32
@@ -177,7 +177,7 @@ def _anchors(texts: DataFrame, parts: int) -> DataFrame:
             rows += _by_text(MARKS, m["rid"], m)
         yield _batch(rows, ("rid", "kind", "data"), pa.int64())
 
-    return texts.select("rid", "text").mapInArrow(deal, _SCHEMA).repartition("bucket").mapInArrow(meet, "rid bigint, kind int, data binary")
+    return texts.select("rid", "text").mapInArrow(trimmed(deal), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), "rid bigint, kind int, data binary")
 
 
 def equal_windows(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,7 +328,7 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
         m = _marks(m["rid"], m["s"], m["e"]) if len(m) else m
         yield _batch(_by_text(MARKS, m["rid"], m), ("rid", "kind", "data"), pa.int64())
 
-    return both.mapInArrow(fetch, _SCHEMA).repartition("bucket").mapInArrow(meet, "rid bigint, kind int, data binary")
+    return both.mapInArrow(trimmed(fetch), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), "rid bigint, kind int, data binary")
 
 
 def kept(text: bytes, marks: list[bytes]) -> tuple[np.ndarray, int]:

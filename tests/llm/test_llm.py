@@ -326,7 +326,7 @@ def test_bpe_equals_reference_encoder(docs, empty):
     for t, ids in zip(odd, codec.encode(odd), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t)
         assert codec.decode(ids) == t.encode()
-    got = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    got = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS)
     for r in got.join(docs.select("doc_id", "text"), "doc_id").where("doc_id not in (3, 5)").collect():
         assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "").encode()
     assert bpe.encode(empty, RANKS, PATTERN).count() == 0
