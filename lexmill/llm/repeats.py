@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,7 +250,8 @@ def equal_windows(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
     """rid, kind (marks), data: repeated windows of the runs that were asked for."""
     lists = asked.groupBy("rid").agg(F.collect_list(F.struct("kind", "data")).alias("asked"))
-    both = texts.join(lists, "rid").select("rid", "text", "asked")
+    # All columns and rows go along, so that this join and the last one deal out the texts in the same way, once.
+    both = texts.join(lists, "rid", "left").select("rid", "text", "asked", *[c for c in texts.columns if c not in ("rid", "text")])
 
     def fetch(batches):
         few, many, n = [], [], 0
@@ -271,6 +273,7 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
             return _batch(rows)
 
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(2)))
             for rid, text, lists in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
                 got = {k: [np.frombuffer(x["data"], ASKED) for x in lists if x["kind"] == k] for k in (FEW, MANY)}
@@ -357,10 +360,10 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """_row (a struct of the columns but ``text``), _kept (binary, the remaining bytes), _bytes, _removed and _spans of each row."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("_row")
-    rows = _numbered(docs.select(own, F.col(key).cast("bigint").alias("_id"), F.col(text).alias("text")))
+    rows = _numbered(docs.select(own, F.col(key).cast("bigint").alias("_id"), F.col(text).alias("text"))).select("rid", "text", "_row")
     found = stored(_anchors(rows, parts), "anchors")
     release(docs.sparkSession)
-    marks = found.where(F.col("kind") == MARKS).union(_windows(rows.select("rid", "text"), found.where(F.col("kind") != MARKS), parts))
+    marks = found.where(F.col("kind") == MARKS).union(_windows(rows, found.where(F.col("kind") != MARKS), parts))
     lists = marks.groupBy("rid").agg(F.collect_list("data").alias("_marks"))
     both = rows.join(lists, "rid", "left").select("_row", "text", "_marks")
 

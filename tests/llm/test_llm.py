@@ -244,6 +244,8 @@ def run_repeats(rows):
     import pyarrow as pa
 
     class Frame:  # what the stages ask of a frame, over lists of batches
+        columns = ("rid", "text")
+
         def __init__(self, batches):
             self.batches = batches
 
