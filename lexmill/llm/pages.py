@@ -3,15 +3,16 @@
 A page is read as tokens: the path of each element that opens (tags with class names) and, under it, each whole text.
 Over the pages of a host every token has an occurrence vector, how often each page has it. Tokens with the same vector
 form an equivalence class; classes that are large and frequent enough are valid and nest by their tokens' paths into the
-host's template. What the template holds is not content; the slots that remain are. Among the slots the main text is
-that of the article (else of the main element, else of the body) without containers that say by tag, role, class or id
-that they are menus, headers, footers, sidebars, notices, adverts, forms or comments.
+host's template. What the template holds is not content, in an article as elsewhere; the slots that remain are. Among the
+slots the main text is that of all articles (else of the main element, else of the body) without containers that say by
+tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
 Vectors are never built: a token's vector is known by its number of pages, its total and the exclusive or of the hashes
 of (page, count), which aggregate before the shuffle; so a host may have any share of all pages.
 
 Defined cases: null html counts as empty and gives an empty text; a null or odd url is host ''; repeated rows count as
-pages of their own; ties between articles of equal length go to the first; other columns are ignored.
+pages of their own; a page with an article or main element of which the template leaves nothing at all is a copy of
+others, and keeps all of it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,18 +132,13 @@ def read(html: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[str, s
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     blocks, _ = read(html or "")
     open_ = [b for b in blocks if not b[3]]
-    sizes: dict[int, int] = {}
-    for text, _, article, _ in open_:
-        sizes[article] = sizes.get(article, 0) + len(text)
-    own = [a for a in sizes if a >= 0]
-    if own:
-        best = min(own, key=lambda a: (-sizes[a], a))
-        return "\n".join(b[0] for b in open_ if b[2] == best)
-    if -1 in sizes:
-        open_ = [b for b in open_ if b[2] == -1]
+    slots = open_
     if template:
-        open_ = [b for b, h in zip(open_, token_hash([f"{b[1]}|{b[0]}" for b in open_]), strict=True) if h not in template]
-    return "\n".join(b[0] for b in open_)
+        slots = [b for b, h in zip(open_, token_hash([f"{b[1]}|{b[0]}" for b in open_]), strict=True) if h not in template]
+    if open_ and not slots and any(b[2] > -2 for b in open_):
+        slots = open_
+    best = max((min(b[2], 0) for b in slots), default=-2)
+    return "\n".join(b[0] for b in slots if min(b[2], 0) >= best)
 
 
 def token_hash(tokens: list[str]) -> list[int]:

@@ -428,6 +428,15 @@ def test_pages(spark):
     assert pages.extract(d.where("false")).count() == 0
 
 
+def test_pages_template_inside_articles(spark):
+    rows = [(i, "http://a.example/", page(f"<p>Top {i}</p><article><p>Own {i}</p><div><p>Read this on our site</p></div></article><article><p>More {i}</p></article>")) for i in range(8)]
+    rows += [(10 + i, "http://b.example/", page("<article><p>One text</p><p>of copies</p></article>")) for i in range(6)]
+    rows += [(20 + i, "http://c.example/", page(f"<article><p>Join us</p></article><div><p>Own {i}</p></div>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own {i}\nMore {i}" for i in range(8))
+    assert all(got[10 + i] == "One text\nof copies" and got[20 + i] == f"Own {i}" for i in range(6))
+
+
 # 8
 
 
