@@ -5,7 +5,9 @@ Over the pages of a host every token has an occurrence vector, how often each pa
 form an equivalence class; classes that are large and frequent enough are valid and nest by their tokens' paths into the
 host's template. What the template holds is not content, in an article as elsewhere; the slots that remain are. Among the
 slots the main text is that of all articles (else of the main element, else of the body) without containers that say by
-tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments.
+tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. An article
+or main element that is not inside an article itself ends a form and a container known by name only, except containers
+of comments and of other articles: such a wrapper is the page's layout.
 
 Vectors are never built: a token's vector is known by its number of pages, its total and the exclusive or of the hashes
 of (page, count), which aggregate before the shuffle; so a host may have any share of all pages.
@@ -43,34 +45,57 @@ ASIDE_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary",
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond replies disqus sidebar breadcrumb breadcrumbs menu nav navbar navigation footer masthead widget pagination pager toolbar".split()
 )
+#: Containers of other articles than the page's own: as whole names, and as a name's first or last part.
+OTHERS = frozenset("ad ads adverts advertisement sidebar widget promo".split())
+OTHERS_PART = frozenset("related recommended comment comments respond replies disqus".split())
+#: A name with such a part says what its element has beside it ("has-sidebar", "page-with-nav"), not what it is.
+BESIDE = frozenset(["has", "with", "no", "without"])
 ASIDE_WHOLE = frozenset(["header", "site-header", "page-header", "siteheader", "top-bar", "skip-link"])
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
-_NAMES = re.compile(r"[\s_-]+")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_NAMES = re.compile(r"[_-]+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip("/ \t\r\n") else {}
-
-
-def _is_aside(tag: str, attr: dict[str, str]) -> bool:
-    if tag in ASIDE_TAGS or "hidden" in attr or attr.get("aria-hidden", "").lower() == "true":
-        return True
-    if attr.get("role", "").lower() in ASIDE_ROLES or "display:none" in attr.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    names = f"{attr.get('class', '')} {attr.get('id', '')}".lower()
-    return bool(names.strip()) and (not ASIDE_NAMES.isdisjoint(_NAMES.split(names)) or not ASIDE_WHOLE.isdisjoint(names.split()))
-
-
-def read(html: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[str, str]]]:
-    """Blocks (text, path, number of the article or -1 for main or -2, lies in an aside) and tokens (token, parent token) in page order."""
+    """All attributes, so that nothing inside a value is taken for one; the first of a name counts."""
+    found: dict[str, str] = {}
+    if raw.strip("/ \t\r\n"):
+        for m in _ATTR.finditer(raw):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _is_content(tag: str, attr: dict[str, str]) -> bool:
+    return tag in ("article", "main") or attr.get("role", "").lower() == "main"
+
+
+def _aside(tag: str, attr: dict[str, str]) -> int:
+    """0 no aside, 1 one that an article or main element inside it ends (a form, most names), 2 one for all below."""
+    role = attr.get("role", "").lower()
+    if (tag in ASIDE_TAGS and tag != "form") or "hidden" in attr or attr.get("aria-hidden", "").lower() == "true":
+        return 2
+    if (role in ASIDE_ROLES and role != "form") or "display:none" in attr.get("style", "").replace(" ", "").lower():
+        return 2
+    found = int(tag == "form" or role == "form")
+    if tag in ("html", "body") or _is_content(tag, attr):
+        return found
+    for name in f"{attr.get('class', '')} {attr.get('id', '')}".lower().split():
+        parts = [x for x in _NAMES.split(name) if x]
+        ends = {*parts[:1], *parts[-1:]}
+        if name in OTHERS or not OTHERS_PART.isdisjoint(ends):
+            return 2
+        if name in ASIDE_WHOLE or (BESIDE.isdisjoint(parts) and not ASIDE_NAMES.isdisjoint(ends)):
+            found = 1
+    return found
+
+
+def read(html: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, str]]]:
+    """Blocks (text, path, number of the article or -1 for main or -2, kind of aside it lies in) and tokens (token, parent token) in page order."""
     blocks, tokens, parts = [], [], []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, path, article, aside
-    path, article, aside = "", -2, False
+    stack: list[tuple[str, str, int, int]] = []  # tag, path, article, aside
+    path, article, aside = "", -2, 0
     articles = at = 0
 
     def flush():
@@ -99,7 +124,8 @@ def read(html: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[str, s
         inline = tag in INLINE
         if not m[1]:
             attr = _attributes(m[3])
-            off = aside or _is_aside(tag, attr)
+            ends = aside == 1 and article < 0 and _is_content(tag, attr)
+            off = max(0 if ends else aside, _aside(tag, attr))
             if not inline or off != aside:
                 flush()
             if tag in VOID:
@@ -114,7 +140,7 @@ def read(html: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[str, s
                 tokens.append((path, stack[-1][1]))
                 if tag == "article" and article < 0:
                     article, articles = articles, articles + 1
-                elif (tag == "main" or attr.get("role", "").lower() == "main") and article == -2:
+                elif _is_content(tag, attr) and article == -2:
                     article = -1
             aside = off
         else:

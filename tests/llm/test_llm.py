@@ -437,6 +437,20 @@ def test_pages_template_inside_articles(spark):
     assert all(got[10 + i] == "One text\nof copies" and got[20 + i] == f"Own {i}" for i in range(6))
 
 
+@pytest.mark.parametrize("wrap", ["div class='content-sidebar-wrap'", "div class='page has-sidebar'", "div id='page-with-nav'", "form action='/'", "div class='site-banner'", "div role='form'"])
+def test_pages_wrapped_article(wrap):
+    inner = "<article><p>Own</p><div class='comment-list'><article>no</article></div><form>no</form></article><div class='comments'><article>no</article></div>"
+    assert pages.main_text(page(f"<{wrap}>{inner}</{wrap.split()[0]}>")) == "Own"
+    assert pages.main_text(page(f"<{wrap}>{inner.replace('article', 'main', 1).replace('</form></article>', '</form></main>')}</{wrap.split()[0]}>")) == "Own"
+
+
+def test_pages_attributes():
+    for kept in ('title="the hidden gem"', 'data-hidden="false"', "title='a class=ad b'", "data-x=\"id='ad'\"", "aria-label=hidden"):
+        assert pages.main_text(page(f"<article><p>a</p><p {kept}>b</p></article>")) == "a\nb"
+    for gone in ("hidden", 'title="x" hidden', "hidden=''", "class=ad", "id = 'ad'", "CLASS='x ad'", 'style="display: none"'):
+        assert pages.main_text(page(f"<article><p>a</p><p {gone}>b</p></article>")) == "a"
+
+
 # 8
 
 
