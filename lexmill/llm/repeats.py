@@ -321,8 +321,9 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
             f = np.concatenate(few)
             f = f[np.lexsort((f["s"], f["rid"], f["g"]))]
             begins = np.flatnonzero(_starts(f["g"]))
-            cut = begins[np.searchsorted(begins, np.arange(0, len(f), 10_000))] if len(f) else []
-            cut = np.unique(np.concatenate([cut, [len(f)]])).astype(np.int64)
+            # A multiple behind the last group's start has only the end after it.
+            ends = np.append(begins, len(f))
+            cut = np.unique(np.append(ends[np.searchsorted(ends, np.arange(0, len(f), 10_000))], len(f)))
             for a, e in zip(np.concatenate([[0], cut[:-1]]).astype(np.int64), cut, strict=True):
                 if e > a:
                     row, s, t = equal_windows(f[a:e])

@@ -240,6 +240,30 @@ def test_repeats_paths(monkeypatch, contents, pairs):
         assert (len(t.encode()) - int(keep.sum()), spans) == want[i][1:3]
 
 
+def test_repeats_last_group_straddles_a_slice(monkeypatch):
+    """More than 10,000 rows in a task; a multiple of it lies in the last group, behind its start."""
+    import pyarrow as pa
+
+    f = np.zeros(10_002, repeats.SENT)
+    f["g"], f["rid"], f["text"] = np.arange(len(f)) // 3, np.arange(len(f)), 97
+
+    class Frame:
+        columns, calls, out = ("rid", "text"), 0, None
+
+        def mapInArrow(self, fn, _):
+            self.calls += 1
+            if self.calls == 2:
+                batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([repeats.FEW], pa.int32()), pa.array([f.tobytes()], pa.binary())], names=["bucket", "kind", "data"])
+                self.out = [r for b in fn(iter([batch])) for r in b.to_pylist()]
+            return self
+
+        groupBy = agg = join = select = repartition = lambda self, *_: self
+
+    monkeypatch.setattr(repeats, "F", __import__("unittest.mock").mock.MagicMock())
+    done = repeats._windows(Frame(), Frame(), 3)
+    assert [r["rid"] for r in done.out] == [i for i in range(len(f)) if i % 3]
+
+
 def run_repeats(rows):
     import pyarrow as pa
 
