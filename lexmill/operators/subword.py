@@ -5,14 +5,16 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 
-#: Distinct words that learning looks at: the most frequent; bounds what reaches the driver.
-MOST_WORDS = 200_000
+#: Merges after which words that are whole are let go of.
+_RENEW = 200
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -63,9 +65,125 @@ def learn(counts: list[tuple[str, int]], vocabulary: int) -> list[tuple[str, str
     return merges
 
 
+def _laid(words: pa.Array, vocabulary: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Symbols of all words, a 0 after each word; where words begin; the alphabet (symbol i is its i-1st character). Slice by slice, as only the result need fit."""
+
+    def slices():
+        for at in range(0, len(words), 100_000):  # no word has a line's end in it
+            yield np.frombuffer(("\n".join(words.slice(at, 100_000).to_pylist()) + "\n").encode("utf-32-le"), np.uint32)
+
+    seen, n = np.zeros(0x110000, bool), 0
+    for x in slices():
+        seen[x] = True
+        n += len(x)
+    seen[10] = False
+    chars = np.flatnonzero(seen)
+    kind = np.int16 if max(len(chars) + 1, vocabulary) + 1 < 1 << 15 else np.int32
+    code = np.zeros(0x110000, kind)
+    code[chars] = np.arange(1, len(chars) + 1)
+    sym, begins, at = np.zeros(n, kind), [np.zeros(0, np.int64)], 0
+    for x in slices():
+        sym[at : at + len(x)] = code[x]
+        begins.append(at + np.concatenate([[0], np.flatnonzero(x == 10)[:-1] + 1]))
+        at += len(x)
+    return sym, np.concatenate(begins), [chr(c) for c in chars]
+
+
+def learn_all(words: pa.Array, counts: np.ndarray, vocabulary: int) -> tuple[list[tuple[str, str]], int]:
+    """Merges as :func:`learn` has them, and the size of the alphabet; words lie in one array, so that millions fit the driver."""
+    sym, begins, names = _laid(words, vocabulary)
+    base, counts = len(names), np.asarray(counts, np.int64)
+    names = ["", *names]
+    most = max(base + 1, vocabulary) + 1
+    pairs: dict[int, int] = {}
+
+    def count(a, b, n):
+        """Codes of pairs and their sums of n."""
+        code, at = np.unique(a.astype(np.int64) * most + b, return_inverse=True)
+        total = np.zeros(len(code), np.int64)
+        np.add.at(total, at, n)
+        return code, total
+
+    for at in range(0, len(begins), 100_000):
+        some = begins[at : at + 100_000]
+        x = sym[some[0] : begins[at + 100_000] if at + 100_000 < len(begins) else len(sym)]
+        here = np.flatnonzero((x[:-1] != 0) & (x[1:] != 0))
+        of = np.searchsorted(some - some[0], here, "right") - 1
+        for c, n in zip(*(v.tolist() for v in count(x[here], x[here + 1], counts[at : at + 100_000][of])), strict=True):
+            pairs[c] = pairs.get(c, 0) + n
+    named = lambda c: (names[c // most], names[c % most])
+    heap = [(-n, named(c), c) for c, n in pairs.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[str, str]] = []
+    # Two pairs may spell the same string; it is one symbol to learn() and so it is here.
+    ids = {s: i for i, s in enumerate(names)}
+    while base + 1 + len(merges) < vocabulary and heap:
+        n, best, c = heapq.heappop(heap)
+        if pairs.get(c, 0) != -n or n == 0:
+            continue
+        if len(merges) % _RENEW == _RENEW - 1:
+            size = np.diff(np.append(begins, len(sym)))
+            two = np.flatnonzero(sym[np.minimum(begins + 1, len(sym) - 1)] != 0)
+            keep = np.zeros(len(sym), bool)
+            keep[sym != 0] = True
+            open_ = np.zeros(len(begins), bool)
+            open_[two] = True
+            keep &= np.repeat(open_, size)
+            length = np.add.reduceat(keep, begins, dtype=np.int64)[two] if len(two) else np.zeros(0, np.int64)
+            begins = np.concatenate([[0], np.cumsum(length + 1)])
+            fresh = np.zeros(begins[-1], sym.dtype)
+            place = np.ones(len(fresh), bool)
+            place[begins[1:] - 1] = False
+            fresh[place] = sym[keep]
+            sym, begins, counts = fresh, begins[:-1], counts[two]
+            del keep, place, size
+        merges.append(best)
+        a, b = c // most, c % most
+        joined = ids.setdefault(best[0] + best[1], len(names))
+        if joined == len(names):
+            names.append(best[0] + best[1])
+        here = np.flatnonzero(sym[:-1] == a)
+        here = here[sym[here + 1] == b]
+        own = np.unique(np.searchsorted(begins, here, "right") - 1)
+        end = np.append(begins[1:], len(sym))[own] if len(own) < 1000 else np.append(begins, len(sym))[own + 1]
+        size = end - begins[own]
+        first = np.cumsum(size) - size
+        at = np.repeat(begins[own] - first, size) + np.arange(size.sum())
+        x, k = sym[at].astype(np.int64), np.repeat(counts[own], size)
+        hit = np.flatnonzero((x[:-1] == a) & (x[1:] == b))
+        if a == b:  # of a run every other one, from the left
+            run = np.flatnonzero(np.concatenate([[True], np.diff(hit) != 1]))
+            hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
+        y = x.copy()
+        y[hit] = joined
+        y[hit + 1] = 0
+        # Symbols of each word move to its beginning.
+        there = np.flatnonzero(y)
+        of = np.repeat(np.arange(len(own)), size)[there]
+        many = np.bincount(of, minlength=len(own))
+        z = np.zeros(len(y), np.int64)
+        z[first[of] + np.arange(len(there)) - (np.cumsum(many) - many)[of]] = y[there]
+        sym[at] = z
+        old, new = (np.flatnonzero((v[:-1] != 0) & (v[1:] != 0)) for v in (x, z))
+        codes, sums = count(np.concatenate([x[old], z[new]]), np.concatenate([x[old + 1], z[new + 1]]), np.concatenate([-k[old], k[new]]))
+        for p, d in zip(codes.tolist(), sums.tolist(), strict=True):
+            if d:
+                pairs[p] = pairs.get(p, 0) + d
+                if pairs[p] > 0:
+                    heapq.heappush(heap, (-pairs[p], named(p), p))
+                else:
+                    del pairs[p]
+    return merges, base
+
+
 def train(docs: DataFrame, vocabulary: int = 1000, text: str = "text") -> list[tuple[str, str]]:
-    rows = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    return learn([(r["word"], r["n"]) for r in rows], vocabulary)
+    return _train(word_counts(docs, text), vocabulary)[0]
+
+
+def _train(counts: DataFrame, vocabulary: int) -> tuple[list[tuple[str, str]], int]:
+    """Learns from all distinct words: they and their counts come to the driver, packed."""
+    rows = counts.toArrow()
+    return learn_all(rows.column("word").combine_chunks(), rows.column("n").to_numpy(), vocabulary)
 
 
 def split_word(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
@@ -87,6 +205,31 @@ def split_word(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
     return w
 
 
+def split_sizes(word: str, rank: dict[tuple[str, str], int], limits: list[int]) -> list[int]:
+    """Number of pieces with the first so many merges, for each limit: a merge makes only pairs of later ones, so one pass goes through all."""
+    w, none = list(word), len(rank)
+    ranks = [rank.get(p, none) for p in zip(w, w[1:], strict=False)]
+    found = {}
+    while True:
+        low = min(ranks, default=none)
+        for m in limits:
+            if m <= low and m not in found:
+                found[m] = len(w)
+        if low == none:
+            return [found.get(m, len(w)) for m in limits]
+        best = (w[at := ranks.index(low)], w[at + 1])
+        new, j = [], 0
+        while j < len(w):
+            if j + 1 < len(w) and w[j] == best[0] and w[j + 1] == best[1]:
+                new.append(best[0] + best[1])
+                j += 2
+            else:
+                new.append(w[j])
+                j += 1
+        w = new
+        ranks = [rank.get(p, none) for p in zip(w, w[1:], strict=False)]
+
+
 def pieces(words: DataFrame, merges: list[tuple[str, str]], word: str = "word") -> DataFrame:
     """word, pieces of each distinct word."""
     rank = {p: i for i, p in enumerate(merges)}
@@ -100,11 +243,16 @@ def pieces(words: DataFrame, merges: list[tuple[str, str]], word: str = "word")
 
 def sweep(docs: DataFrame, sizes=(500, 1000, 2000, 4000, 8000), text: str = "text") -> DataFrame:
     """For each vocabulary size: merges, pieces over all words, pieces a word, words kept whole. A smaller model is a beginning of a larger one."""
-    merges = train(docs, max(sizes), text)
     counts = word_counts(docs, text)
-    made = None
-    for v in sizes:
-        own = merges[: max(0, v - max(sizes) + len(merges))]
-        rows = counts.join(pieces(counts, own), "word").agg(F.lit(v).alias("vocabulary"), F.lit(len(own)).alias("merges"), F.sum(F.size("pieces") * F.col("n")).alias("pieces"), (F.sum(F.size("pieces") * F.col("n")) / F.sum("n")).alias("pieces_per_word"), (100 * F.sum(F.when(F.size("pieces") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("whole_pct"))
-        made = rows if made is None else made.unionByName(rows)
-    return made
+    merges, base = _train(counts, max(sizes))
+    own = [min(len(merges), max(0, v - base - 1)) for v in sizes]
+    rank = {p: i for i, p in enumerate(merges)}
+
+    @F.pandas_udf("array<int>")
+    def n_pieces(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: split_sizes(w, rank, own))
+
+    rows = counts.select("n", n_pieces("word").alias("k"))
+    each = [F.struct(F.lit(v).alias("vocabulary"), F.lit(m).alias("merges"), F.sum(F.col("k")[i] * F.col("n")).alias("pieces"), F.sum("n").alias("n"), F.sum(F.when(F.col("k")[i] == 1, F.col("n")).otherwise(0)).alias("whole")) for i, (v, m) in enumerate(zip(sizes, own, strict=True))]
+    made = rows.agg(F.array(*each).alias("x")).select(F.inline("x"))
+    return made.select("vocabulary", "merges", "pieces", (F.col("pieces") / F.col("n")).alias("pieces_per_word"), (100 * F.col("whole") / F.col("n")).alias("whole_pct"))

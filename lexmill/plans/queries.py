@@ -490,7 +490,7 @@ def conversation_terms(spark, sf_dir):
 
 @_query()
 def bpe_encode_stats(spark, sf_dir):
-    return _rounded(subword.sweep(_read(spark, sf_dir, "benchmark"), (100, 200, 400)), "pieces_per_word", "whole_pct")
+    return _rounded(subword.sweep(_read(spark, sf_dir, "documents")), "pieces_per_word", "whole_pct")
 
 
 @_query()

@@ -198,6 +198,40 @@ def test_subwords(spark):
     assert subword.split_word("lowest", {p: i for i, p in enumerate(merges)})[-1] == "est"
 
 
+def test_subwords_of_all_words(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(subword, "_RENEW", 7)
+    rng = random.Random(2)
+    for alphabet in ("ab", "abcé🎉", "abcdefghij"):
+        counts = {"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(400)} | {"a" * 9: 50, "aaa": 7}
+        for size in (2, 30, 90, 5000):
+            want = subword.learn(list(counts.items()), size)
+            assert subword.learn_all(pa.array(counts), list(counts.values()), size) == (want, len(set("".join(counts))))
+        rank = {p: i for i, p in enumerate(want)}
+        for w in counts:
+            limits = [0, 3, 20, 50, len(want)]
+            assert subword.split_sizes(w, rank, limits) == [len(subword.split_word(w, {p: i for p, i in rank.items() if i < m})) for m in limits]
+    # Twice 200,000 words that come first, and 60,000 rare ones with the most frequent pair.
+    rows = spark.range(260_000).select(F.when(F.col("id") < 200_000, F.concat_ws(" ", *[F.translate(F.format_string("%07d", "id"), "0123456789", "abcdefghij")] * 2)).otherwise(F.concat(F.lit("q"), F.lit("x"), F.translate(F.format_string("%07d", F.col("id") * 31), "0123456789", "klmnoprstu"))).alias("text"))
+    flat = rows.select(F.regexp_replace("text", "^a+", "").alias("text"))
+    want = subword.learn([(r["word"], r["n"]) for r in subword.word_counts(flat).collect()], 60)
+    assert subword.train(flat, 60) == want and ("q", "x") in want
+
+
+def test_subword_query_reads_documents(spark, docs, tmp_path):
+    from lexmill.plans import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["bpe_encode_stats"](spark, str(tmp_path)).collect()
+    assert [r["vocabulary"] for r in got] == [500, 1000, 2000, 4000, 8000]
+    words = {r["word"]: r["n"] for r in subword.word_counts(docs).collect()}
+    rank = {p: i for i, p in enumerate(subword.learn(list(words.items()), 8000))}
+    assert got[-1]["pieces"] == sum(len(subword.split_word(w, rank)) * n for w, n in words.items())
+
+
 def test_pipelines(spark, docs):
     assert one(spark, pipelines.final("text"), "The children slept") == ["child", "sleep"]
     last = one(spark, pipelines.trace("text"), "Therapies helped")[-1]
