@@ -47,6 +47,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return scored.where((F.col("jaccard") >= NEAR_JACCARD) | (F.col("containment") >= NEAR_CONTAINMENT)).withColumn("flagged", (F.col("jaccard") >= NEAR_FLAG) | (F.col("containment") >= NEAR_FLAG))
 
 
+def near_duplicate_members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, first_id, copies: the class of equal shingle sets that each document with a shingle is in, by the first document of it.
+
+    With :func:`near_duplicates` on first_id this gives the links of every copy; members of one class have Jaccard 1.
+    """
+    sets = docs.select(key, F.array_sort(shingles(text)).alias("s")).where(F.size("s") > 0).select(key, F.xxhash64("s").alias("h"))
+    classes = sets.groupBy("h").agg(F.min(key).alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    return sets.join(classes, "h", "left").select(F.col(key), F.coalesce("first_id", key).alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def quality_flags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """words, flags and status (reject, flag, pass) of each document."""
     t = F.col(text)

@@ -405,6 +405,13 @@ def near_duplicates(spark, sf_dir):
     return _rounded(duplicates.near_duplicates(_read(spark, sf_dir, "documents")), "jaccard", "containment")
 
 
+@_query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS first_id, count(*) OVER (PARTITION BY s) AS copies FROM s""")
+def near_duplicate_members(spark, sf_dir):
+    return duplicates.near_duplicate_members(_read(spark, sf_dir, "documents"))
+
+
 @_query()
 def qc_flags(spark, sf_dir):
     return duplicates.quality_flags(_read(spark, sf_dir, "documents"))

@@ -160,6 +160,15 @@ def test_duplicates(spark):
     assert set(status.values()) == {"reject"}
 
 
+def test_near_duplicate_members(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    said = "a b c d e f "
+    rows = [(1, base), (2, base.upper() + "!"), (3, base + " x y"), (4, ""), (5, None), (6, base), (7, said * 3), (8, said * 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["first_id"], r["copies"]) for r in duplicates.near_duplicate_members(d).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 6: (1, 3), 3: (3, 1), 7: (7, 2), 8: (7, 2)}
+
+
 def test_manifest_rules(spark):
     rows = spark.createDataFrame([("D01", "a;b", "x"), ("D1", "c", "TODO"), ("D1", "", "")], "doc_id string, topics string, title string")
     got = {(r["doc_id"], r["field"], r["problem"]) for r in duplicates.validate(rows, {"doc_id": {"pattern": r"^D\d{2}$"}, "topics": {"vocab": ["a", "b"], "list": True}, "title": {"required": True}}).collect()}
