@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,27 +22,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Applications whose scratch tables are deleted when the driver ends.
+_APPLICATIONS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests) a temporary folder serves; on a cluster each machine would have one of its own, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lexmill-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _APPLICATIONS:
+        _APPLICATIONS.add(own)
+        atexit.register(_delete, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder; what a driver that was lost leaves behind lies under its application's name."""
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # noqa: BLE001 (the JVM may be gone already; a scratch folder is no result)
+        pass
+
+
+#: Spark drops the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as a table in the shared scratch folder and reads it again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage: writes ``df`` as a table in the shared scratch folder and reads it again. Its shuffle files go when it is written."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are no longer referenced, else they stay until the driver's next collection."""
-    for _ in range(2):  # the first round lets go of Python's handles, which the driver hears of a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    """Nothing is left to do: :func:`stored` drops its shuffle files."""
 
 
 def held_out(key: str = "doc_id"):

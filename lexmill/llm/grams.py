@@ -90,6 +90,30 @@ def span_hash(prefix: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((prefix[ends] - prefix[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Words up to so many bytes are hashed together, eight bytes a step; a longer one by itself.
+_TOGETHER = 64
+
+
+def word_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each span under a seed. Every eight bytes pass a nonlinear mix, so no arithmetic between bytes' powers can cancel out, as it can in a polynomial modulo 2**64."""
+    import xxhash
+
+    n = ends - begins
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mixed(n.astype(np.uint64) + np.uint64(seed * int(_MIX) % (1 << 64)))
+    at = np.flatnonzero(n <= _TOGETHER)
+    for k in range(0, _TOGETHER, 8):
+        at = at[n[at] > k]
+        if not len(at):
+            break
+        h[at] = mixed((h[at] ^ (eight[begins[at] + k] & _TAIL[np.minimum(n[at] - k, 8)])) + _WORD_BASE)
+    for i in np.flatnonzero(n > _TOGETHER).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]], seed)
+    return h
+
+
 def size(grams: tuple[int, ...], bits: int) -> int:
     """How many buckets :func:`features` uses."""
     return ((len(grams) + 1) << bits) + 2

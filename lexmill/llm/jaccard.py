@@ -4,64 +4,58 @@ A document is its set of word shingles. In one global order of shingles (rare on
 ``n - ceil(t * n) + l`` of a set are its l-prefix: two sets that reach the threshold share at least l tokens of their
 l-prefixes. Each document chooses its own l: the higher the estimated cost of its candidates, the longer its prefix, and a
 pair needs as many shared prefix tokens as the smaller of both l before it is verified. (l counts distinct prefix tokens
-shared, so a wrong estimate costs time and never a link.)
-
-1. :func:`common` counts shingles of half of the hash space over all documents and keeps those of many documents, with a
-   bound; they only decide the order (rare first), never a result.
-2. :func:`candidates` sends prefix tokens in packed blocks to the task of their hash. A token of a few classes gives their
-   pairs; those of many only say that their classes belong together: a task gives a star for each group of classes that
-   such tokens connect, so no token makes all pairs.
-3. Candidates' connected components are clusters. A cluster's sets meet in blocks of about :data:`BLOCK` classes; a task
-   holds two blocks and counts exact intersections by a matrix product, and gives a spanning forest of its links and each
-   class's number of links.
-4. Components over those forests are the result.
+shared, so a wrong estimate costs time and never a link.) Of those l tokens each has enough of both sets behind it for the
+overlap that the threshold asks; tokens where that fails don't count.
+
+1. :func:`levels` counts shingles over all documents. Those of several documents raise their slot of a table of fixed size
+   to the logarithm of their count; the table is the order, and the estimate of costs.
+2. :func:`candidates` sends prefix tokens in packed blocks to the task of their hash. A token of a few classes gives pairs
+   there and then. A *hot* token's entries are written: hot by number in its task, or by estimate before it is dealt out,
+   in which case its classes are dealt over many tasks.
+3. :func:`balls` takes large groups of near copies out of the pairs. A class that meets hot tokens is compared with one
+   other (the class that most of its hot tokens name as theirs); with d the size of the symmetric difference, a class has
+   slack ``u = n - 7 d``. It is in the ball if it is linked with the pivot. Two classes of a ball with ``u + u' >= 0`` are
+   linked by the triangle inequality, so sums over a histogram of u count such links. Links of the others are counted
+   from their differences to the pivot, in blocks (:func:`ball_links`).
+4. :func:`across`: a hot token's classes of different balls (or none) meet in pairs of blocks, filtered by size, places and ball.
+5. Pairs that share enough prefix tokens are verified on their sets by a second, independent hash (:func:`compare`).
+6. Components over links and balls are the result.
 
 Equal sets are one class from the start (key: 64 bits of the whole set), so copies never meet as pairs.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; rows of a null
-doc_id take part and have doc_id null, a component that only holds such rows has component_id null; repeated rows are
-copies; an empty table gives no rows; other columns are ignored.
+doc_id take part and have doc_id null, a component that only holds such rows has component_id null; rows that repeat a
+doc_id with other texts are documents of their own; repeated rows are copies; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import shingles
-from lexmill.llm.common import release, sliced, stored, trimmed
+from lexmill.llm.common import sliced, stored, trimmed
 from lexmill.llm.components import components
 
-#: The threshold in hundredths.
-PERCENT = 75
-#: A shingle is common from so many documents on; at most so many common ones (the most frequent) are sent to all tasks.
-COMMON, MOST_COMMON = 8, 1_000_000
-#: A token with more classes gives no pairs.
-PAIRS = 24
-#: Classes in a block of a cluster.
+#: The threshold in hundredths, and the same as a bound of differences: sets of a and b shingles are linked when their symmetric difference is at most (a + b) / 7.
+PERCENT, SLACK = 75, 7
+#: A shingle is common from so many documents on; the table of levels has 2**SLOTS places.
+COMMON, SLOTS = 8, 22
+#: A token with more classes in its task is hot; a token of this level (logarithm of its documents) is dealt over 2**(level - HOT + 1) tasks.
+PAIRS, HOT = 24, 13
+#: Classes in a block, for all work in pairs of blocks.
 BLOCK = 256
-#: A prefix is lengthened by a token for so many estimated candidates, at most by this part of the set, and never by more than a byte holds.
-CHEAP, LONGER, LONGEST = 4, 8, 254
+#: A prefix is lengthened by a token for so many estimated candidates, at most by this part of the set, and never by more than half a byte holds.
+CHEAP, LONGER, LONGEST = 4, 8, 120
 _FLUSH = 1 << 20
-_REGION = np.uint64(1)
-#: A prefix token on its way: 40 bits of its hash (the bucket knows some more), class, size as a logarithm, l.
-ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("c", "<i8"), ("n", "<u2"), ("l", "u1")])
-_LOG = 4_000
-
-
-def _packed(rows: list[tuple[np.ndarray, ...]], parts: int):
-    """Yields (bucket, arrays) with the rows' arrays dealt by the first array's hash."""
-    cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-    bucket = (cols[0] >> np.uint64(33)) % np.uint64(parts)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(parts), "right")
-    begin = 0
-    for b, end in enumerate(ends.tolist()):
-        if end > begin:
-            yield b, [c[order[begin:end]] for c in cols]
-        begin = end
+#: A prefix token on its way: 40 bits of its hash, class, size of the set, share of the set from here on (in 255ths, rounded up), l (the top bit: hot by estimate).
+ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("c", "<i8"), ("n", "<u4"), ("r", "u1"), ("l", "u1")])
+_MINE = 128
 
 
 def _parts(df: DataFrame) -> int:
@@ -74,84 +68,147 @@ def _texts(batches, column: int):
             yield part, shingles.sets(part.column(column).to_pylist())
 
 
-def common(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (half of the hash space, all documents) and their number of documents; a bounded table."""
+def _rows(columns: dict[str, tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
+
+
+# The order of shingles
+
+
+def levels(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The logarithm of the number of documents of the most frequent common shingle of each slot (the first bits of a hash); 0 without one."""
     parts = _parts(docs)
 
     def deal(batches):
-        rows, held, seen = [], 0, set()
+        held, n, seen = [], 0, set()
 
         def out():
-            got = list(_packed([(np.concatenate(rows),)], parts))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([c[0].tobytes() for _, c in got], pa.binary())], names=["bucket", "tokens"])
+            # Counted among a sender's rows first, so that a very common shingle travels once.
+            t, k = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
+            cuts = np.searchsorted(t, (np.arange(1, parts, dtype=np.uint64) << np.uint64(48)) // np.uint64(parts))
+            rows = []
+            for b, (ts, ks) in enumerate(zip(np.split(t, cuts), np.split(k, cuts), strict=True)):
+                if len(ts):
+                    again = ks > 1
+                    six = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in (ts[~again], ts[again])]
+                    rows.append((b, *six, ks[again].astype("<u4").tobytes()))
+            b, once, twice, count = zip(*rows, strict=True)
+            return _rows({"bucket": (b, pa.int32()), "once": (once, pa.binary()), "twice": (twice, pa.binary()), "n": (count, pa.binary())})
 
         for _, sets in _texts(batches, 0):
             for s in sets:
                 if len(s) and (key := shingles.class_key(s)) not in seen:
                     seen.add(key)
-                    rows.append(s[(s & _REGION) == 0])
-                    held += len(rows[-1])
-            if held > _FLUSH:
+                    held.append(s)
+                    n += len(s)
+            if n > _FLUSH:
                 yield out()
-                rows, held = [], 0
-        if held:
+                held, n = [], 0
+        if n:
             yield out()
 
+    def tokens(data: bytes) -> np.ndarray:
+        six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+        full = np.zeros((len(six), 8), np.uint8)
+        full[:, :6] = six
+        return full.reshape(-1).view("<u8")
+
     def count(batches):
-        held = []
+        held, n = [], []
         for batch in batches:
-            held += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-        if held:
-            t, n = np.unique(np.concatenate(held), return_counts=True)
-            t, n = t[n >= COMMON], n[n >= COMMON]
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
-
-    dealt = docs.select(text).mapInArrow(trimmed(deal), "bucket int, tokens binary").repartition("bucket")
-    found = stored(dealt.mapInArrow(trimmed(count), "token bigint, n bigint"), "common")
-    got = found.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
-    token, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def prefix(s: np.ndarray, token: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
-    """The prefix of a set in the global order, and its l."""
+            for once, twice, k in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                held += [tokens(once), tokens(twice)]
+                n += [np.ones(len(held[-2]), np.uint32), np.frombuffer(k, "<u4")]
+        if not held:
+            return
+        t, n = np.concatenate(held), np.concatenate(n)
+        order = np.argsort(t)
+        t, n = t[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        n = np.add.reduceat(n.astype(np.int64), first)
+        slot, n = (t[first] >> np.uint64(48 - SLOTS))[n >= COMMON].astype(np.int64), n[n >= COMMON]
+        if len(slot):
+            low = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            most = np.log2(np.maximum.reduceat(n, low)).astype(np.uint8)
+            yield _rows({"slots": ([slot[low].astype("<u4").tobytes()], pa.binary()), "levels": ([most.tobytes()], pa.binary())})
+
+    dealt = docs.select(text).mapInArrow(trimmed(deal), "bucket int, once binary, twice binary, n binary").repartition("bucket")
+    table = np.zeros(1 << SLOTS, np.uint8)
+    # A row for each task, and five bytes for each slot in all: 20 MB at any size of the input.
+    for r in dealt.mapInArrow(trimmed(count), "slots binary, levels binary").collect():
+        at = np.frombuffer(r["slots"], "<u4")
+        table[at] = np.maximum(table[at], np.frombuffer(r["levels"], np.uint8))
+    return table
+
+
+def prefix(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The prefix of a set in the global order, its l, and its tokens' levels."""
     n = len(s)
     base = n - -(-PERCENT * n // 100)
-    outside = s & _REGION
-    df = np.zeros(n, np.int64)
-    if len(token):
-        at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-        hit = token[at] == s
-        df[hit] = count[at[hit]]
-    order = np.lexsort((s, df, outside))
+    level = table[s >> np.uint64(64 - SLOTS)]
+    order = np.argsort(level, kind="stable")  # the set is ascending, so ties go by hash
     # Every token may bring a candidate, a common one as many as it has documents.
-    cost = base + 1 + int(df[order[: base + 1]].sum())
+    head = level[order[: base + 1]].astype(np.int64)
+    cost = base + 1 + int((1 << head[head > 0]).sum())
     match = 1 + min(n // LONGER, cost // CHEAP, LONGEST)
-    return s[order[: base + match]], match
+    order = order[: base + match]
+    return s[order], match, level[order]
+
 
+# Candidates
 
-def candidates(docs: DataFrame, token: np.ndarray, count: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """kind 0: pairs of classes (a, b) with shared tokens m and needed ones; 1: edges of such stars; 2: documents (a: class, null without words; b: doc_id; m: shingles)."""
+
+def feasible(na, nb, ra, rb, need):
+    """Can a pair that shares this token as one of its first ``need`` reach the threshold? Both have a part (in 255ths) of their sets from the token on."""
+    low = 3 * (na + nb) / 7 - need + 1 - 1e-6
+    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (ra * na / 255 >= low) & (rb * nb / 255 >= low)
+
+
+def _sums(a: np.ndarray, b: np.ndarray, need: np.ndarray):
+    """Each pair once, with how often it is there and its need."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high, need = low[order], high[order], need[order]
+    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else order
+    return low[first], high[first], np.diff(np.concatenate([first, [len(low)]])), need[first]
+
+
+def candidates(docs: DataFrame, table: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """kind 0: pairs of classes (a, b) that share m tokens of few classes, and need so many; 1: a hot token's entry (a: class, b: token, m: size, need: part * 256 + l); 2: documents (a: class, null without words; b: doc_id; m: shingles)."""
     parts = _parts(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((token, count))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     schema = "bucket int, kind int, data binary"
     document = np.dtype([("id", "<i8"), ("null", "u1"), ("c", "<i8"), ("n", "<u4")])
 
+    def entries(s: np.ndarray, cls: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, match, level = prefix(s, table)
+        e = np.zeros(len(p), ENTRY)
+        e["low"], e["high"], e["c"], e["n"] = p & np.uint64(0xFFFFFFFF), (p >> np.uint64(32)) & np.uint64(0xFF), cls, len(s)
+        e["r"] = np.ceil(255 * (len(s) - np.arange(len(p))) / len(s))
+        # Tokens that agree in 40 bits count as one.
+        e["l"] = max(1, match - (len(p) - len(np.unique(p & np.uint64(0xFFFFFFFFFF)))))
+        bucket = (p >> np.uint64(33)) % np.uint64(parts)
+        hot = level >= HOT
+        if hot.any():
+            e["l"][hot] |= _MINE
+            over = np.uint64(1) << (level[hot] - HOT + 1).astype(np.uint64)
+            bucket[hot] = (bucket[hot] + np.uint64(cls & (2**64 - 1)) % over) % np.uint64(parts)
+        return bucket.astype(np.int64), e
+
     def deal(batches):
-        token, count = shared.value
+        table = shared.value
         rows, own, held, seen = [], [], 0, set()
 
         def out():
             got = []
             if rows:
-                for b, (h, c, n, match) in _packed(rows, parts):
-                    e = np.zeros(len(h), ENTRY)
-                    e["low"], e["high"], e["c"], e["l"] = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) & np.uint64(0xFF), c, match
-                    e["n"] = np.log(n) * _LOG
-                    got.append((b, 0, e.tobytes()))
+                bucket, e = (np.concatenate(x) for x in zip(*rows, strict=True))
+                order = np.argsort(bucket, kind="stable")
+                e, ends = e[order], np.cumsum(np.bincount(bucket, minlength=parts))
+                got += [(b, 0, e[x:y].tobytes()) for b, (x, y) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)) if y > x]
             got.append((abs(own[0][2]) % parts, 1, np.array(own, document).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
+            b, kind, data = zip(*got, strict=True)
+            return _rows({"bucket": (b, pa.int32()), "kind": (kind, pa.int32()), "data": (data, pa.binary())})
 
         for part, sets in _texts(batches, 1):
             for i, s in zip(part.column(0).to_pylist(), sets, strict=True):
@@ -159,9 +216,8 @@ def candidates(docs: DataFrame, token: np.ndarray, count: np.ndarray, key: str =
                 own.append((i or 0, i is None, cls, len(s)))
                 if len(s) and cls not in seen:
                     seen.add(cls)
-                    p, match = prefix(s, token, count)
-                    rows.append((p, np.full(len(p), cls, np.int64), np.full(len(p), len(s), np.uint32), np.full(len(p), match, np.uint8)))
-                    held += len(p)
+                    rows.append(entries(s, cls, table))
+                    held += len(rows[-1][1])
             if held > _FLUSH // 2 or len(own) > 20_000:
                 yield out()
                 rows, own, held = [], [], 0
@@ -178,9 +234,7 @@ def candidates(docs: DataFrame, token: np.ndarray, count: np.ndarray, key: str =
                 else:
                     held.append(np.frombuffer(data, ENTRY))
         if held:
-            e = np.concatenate(held)
-            # Different buckets' tokens may agree in 40 bits; they can't be told apart here and only add candidates.
-            yield from _meet(e["low"].astype(np.uint64) | (e["high"].astype(np.uint64) << np.uint64(32)), e["c"], e["n"], e["l"])
+            yield from meeting(np.concatenate(held))
 
     rows = docs.select(F.col(key).cast("bigint").alias(key), text)
     return rows.mapInArrow(trimmed(deal), schema).repartition("bucket").mapInArrow(trimmed(meet), "kind int, a bigint, b bigint, m bigint, need bigint")
@@ -191,165 +245,295 @@ def _out(kind: int, a, b, m, need) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["kind", "a", "b", "m", "need"])
 
 
-def _meet(h, c, n, match):
-    """Pairs and stars of one task's tokens."""
-    order = np.lexsort((c, n, h))
-    h, c, n, match = h[order], c[order], n[order], match[order]
+def meeting(e: np.ndarray):
+    """Pairs of one task's tokens of few classes, and the entries of its hot tokens."""
+    h = e["low"].astype(np.int64) | (e["high"].astype(np.int64) << 32)
+    order = np.lexsort((e["c"], h))
+    h, e = h[order], e[order]
     fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    h, c, n, match = h[fresh], c[fresh], n[fresh], match[fresh]
+    fresh[1:] = (h[1:] != h[:-1]) | (e["c"][1:] != e["c"][:-1])
+    h, e = h[fresh], e[fresh]
     begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     sizes = np.diff(np.concatenate([begins, [len(h)]]))
+    hot = (sizes > PAIRS) | np.logical_or.reduceat(e["l"] >= _MINE, begins)
+    match = e["l"].astype(np.int64) & (_MINE - 1)
     found = []
-    for k in np.unique(sizes[(sizes > 1) & (sizes <= PAIRS)]).tolist():
-        at = begins[sizes == k]
+    for k in np.unique(sizes[(sizes > 1) & ~hot]).tolist():
+        at = begins[(sizes == k) & ~hot]
         i, j = np.triu_indices(k, 1)
         x, y = (at[:, None] + i).reshape(-1), (at[:, None] + j).reshape(-1)
-        near = n[y].astype(np.int64) - n[x].astype(np.int64) <= 1 + int(_LOG * np.log(100 / PERCENT) + 1)
-        x, y = x[near], y[near]
-        found.append(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y]), np.minimum(match[x], match[y]).astype(np.int64)], 1))
+        need = np.minimum(match[x], match[y])
+        good = feasible(e["n"][x].astype(np.int64), e["n"][y].astype(np.int64), e["r"][x].astype(np.int64), e["r"][y].astype(np.int64), need)
+        found.append((e["c"][x[good]], e["c"][y[good]], need[good]))
     if found:
-        rows = np.concatenate(found)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])) if len(rows) else np.zeros(0, np.int64)
-        yield _out(0, rows[first, 0], rows[first, 1], np.diff(np.concatenate([first, [len(rows)]])), rows[first, 2])
-    many = np.repeat(sizes > PAIRS, sizes)
-    if many.any():
-        # All of this task's common tokens at once: a class takes the least of its tokens' classes until nothing moves.
-        token = np.repeat(np.arange(len(sizes)), sizes)[many]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.concatenate([first, [len(token)]]))
-        cls, at = np.unique(c[many], return_inverse=True)
-        label = np.arange(len(cls))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, at, np.repeat(np.minimum.reduceat(label[at], first), count))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        own = label != np.arange(len(cls))
-        yield _out(1, cls[own], cls[label[own]], np.ones(own.sum()), np.ones(own.sum()))
-
-
-def links(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """Which sets reach the threshold with which, as a symmetric matrix; with two sides only pairs across."""
-    k = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
+        yield _out(0, *_sums(*(np.concatenate(c) for c in zip(*found, strict=True))))
+    own = np.repeat(hot, sizes)
+    if own.any():
+        yield _out(1, e["c"][own], h[own], e["n"][own], e["r"][own].astype(np.int64) * 256 + match[own])
+
+
+# Sets of pairs
+
+
+def wanted_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """class and text of the ``wanted`` classes."""
+    first = wanted.join(classes, "class").select("class", "first")
+    texts = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("text"))
+
+    def keyed(batches):
+        for part, sets in _texts(batches, 0):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles.class_key(s) if len(s) else None for s in sets], pa.int64())], names=["text", "class"])
+
+    def of(rows):
+        return rows.mapInArrow(trimmed(keyed), "text string, class bigint")
+
+    # A row of the same doc_id but another text isn't the class's; classes without any doc_id are found by their key alone.
+    some = of(texts.join(first.where(F.col("first").isNotNull()).select(F.col("first").alias("_id")).distinct(), "_id", "left_semi").select("text"))
+    none = of(texts.where(F.col("_id").isNull()).select("text")).groupBy("class").agg(F.min("text").alias("text"))
+    found = some.select("class", "text").unionByName(none.select("class", "text"))
+    return stored(found.join(wanted, "class", "left_semi"), "texts")
+
+
+def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text", differences: bool = False) -> DataFrame:
+    """a, b, na, nb, d (the size of the symmetric difference of the sets), diff (its tokens, if asked) of the linked ones among ``pairs`` (a, b).
+
+    Sets are made of a second hash. A class of many pairs is dealt over as many tasks as it has blocks of partners; a task
+    holds one class's set and streams the others.
+    """
+    texts = wanted_texts(docs, classes, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), key, text)
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("_of"))
+    dealt = stored(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_of")).alias("salt")), "dealt")
+    other = dealt.join(texts, dealt["b"] == texts["class"]).select("a", "salt", "b", "text")
+    own = dealt.select("a", "salt").distinct().join(texts, F.col("a") == texts["class"]).select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
+    met = own.unionByName(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    def run(batches):
+        group, mine, last = None, None, None
+        for batch in batches:
+            for part in sliced(batch, "text", 1 << 20):
+                a, salt, b = (part.column(i).to_pylist() for i in range(3))
+                sets = shingles.sets(part.column(3).to_pylist(), seed=2)
+                out = []
+                for x, y, z, s in zip(a, salt, b, sets, strict=True):
+                    if z is None:
+                        group, mine, last = (x, y), s, None
+                    elif group == (x, y) and z != last:
+                        last = z
+                        diff = np.setxor1d(mine, s, True)
+                        if SLACK * len(diff) <= len(mine) + len(s):
+                            out.append((x, z, len(mine), len(s), len(diff), diff.tobytes() if differences else None))
+                x, z, na, nb, d, diff = zip(*out, strict=True) if out else ((),) * 6
+                yield _rows({"a": (x, pa.int64()), "b": (z, pa.int64()), "na": (na, pa.int64()), "nb": (nb, pa.int64()), "d": (d, pa.int64()), "diff": (diff, pa.binary())})
+
+    return met.mapInArrow(trimmed(run), "a bigint, b bigint, na bigint, nb bigint, d bigint, diff binary")
+
+
+# Balls
+
+
+def balls(docs: DataFrame, classes: DataFrame, hot: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """class, home (the pivot of its ball), n, u, copies, diff for each class that is linked with the pivot of its choice."""
+    # A changed text has fewer hot tokens in its prefix, as it has tokens of its own: a token's pivot is the class that has most.
+    share = hot.groupBy("class").agg(F.count("*").alias("k"))
+    named = hot.select("token", "class").join(share, "class")
+    pivot = named.groupBy("token").agg(F.max(F.struct("k", "class"))["class"].alias("home"))
+    votes = named.join(pivot, "token").groupBy("class", "home").agg(F.count("*").alias("m"))
+    chosen = votes.groupBy("class").agg(F.max(F.struct("m", "home"))["home"].alias("home"))
+    met = compare(docs, classes, stored(chosen.select(F.col("home").alias("a"), F.col("class").alias("b")), "chosen"), key, text, differences=True)
+    rows = met.select(F.col("b").alias("class"), F.col("a").alias("home"), F.col("nb").alias("n"), (F.col("nb") - SLACK * F.col("d")).alias("u"), "diff")
+    return rows.join(classes.select("class", "copies"), "class")
+
+
+def ball_links(rows: DataFrame) -> DataFrame:
+    """class, links: for each class of a ball the copies of other classes in it that it is linked with."""
+    # Sure links: a class meets all whose u is at least -u. Both are points of a line; a ball has no more of them than sizes of sets.
+    points = rows.groupBy("home", F.col("u").alias("x")).agg(F.sum("copies").alias("w"), F.count("*").alias("c"))
+    asked = points.select("home", (-F.col("x")).alias("x")).distinct().select("home", "x", F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("c"))
+    line = points.unionByName(asked).groupBy("home", "x").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
+    down, up = (Window.partitionBy("home").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.desc("x"), F.col("x")))
+    line = line.select("home", "x", "c", F.sum("w").over(down).alias("sure"), (F.sum("c").over(up) - F.col("c")).alias("before"))
+    own = line.select("home", F.col("x").alias("u"), F.col("before").alias("own_before"), F.col("c").alias("own_c"))
+    other = line.select("home", (-F.col("x")).alias("u"), "sure", "before")
+    each = stored(rows.join(own, ["home", "u"]).join(other, ["home", "u"]), "slack")
+    sure = each.select("class", (F.col("sure") - F.when(F.col("u") >= 0, F.col("copies")).otherwise(0)).alias("links"))
+    # Others: those before -u on the line, in blocks along it.
+    block = F.floor(F.col("own_before") / BLOCK) + F.pmod(F.xxhash64("class"), F.ceil(F.col("own_c") / BLOCK))
+    dealt = each.where("before > 0").withColumn("_own", block)
+    # Whoever is before -u has a block of at most before / BLOCK + 1.
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("before") / BLOCK) + 1)))
+    dealt = dealt.select("home", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "class", "copies", "n", "u", "diff")
+    dealt = dealt.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "class")
+
+    def run(batches):
+        group, held = None, []
+
+        def out():
+            side, cls, copies, n, u, diff = zip(*held, strict=True)
+            near = differing([np.frombuffer(x, np.uint64) for x in diff], np.array(n), np.array(u))
+            if group[1] != group[2]:
+                near &= np.array(side)[:, None] != np.array(side)[None, :]
+            links = near @ np.array(copies, np.int64)
+            at = np.flatnonzero(links)
+            return _rows({"class": (np.array(cls, np.int64)[at], pa.int64()), "links": (links[at], pa.int64())})
+
+        for batch in batches:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(9)], strict=True):
+                if row[:3] != group:
+                    if len(held) > 1:
+                        yield out()
+                    group, held = row[:3], []
+                held.append(row[3:])
+        if len(held) > 1:
+            yield out()
+
+    rest = dealt.mapInArrow(trimmed(run), "class bigint, links bigint")
+    return sure.unionByName(rest).groupBy("class").agg(F.sum("links").alias("links"))
+
+
+def differing(diffs: list[np.ndarray], n: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Of sets known by their differences from one set: which are linked with which though u + u' < 0, as a symmetric matrix. The difference of two is the difference of theirs."""
+    k = len(diffs)
+    sizes = np.array([len(x) for x in diffs], np.int64)
     owner = np.repeat(np.arange(k), sizes)
-    token, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = n[at] > 1
+    token, at, count = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
+    keep = count[at] > 1
     owner, at = owner[keep], at[keep]
     _, at = np.unique(at, return_inverse=True)
-    inter = np.zeros((k, k), np.float32)
-    width = max(1, min(1 << 14, (1 << 22) // max(k, 1)))
+    both = np.zeros((k, k), np.float64)
+    width = max(1, min(1 << 14, (1 << 21) // max(k, 1)))
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     for a in range(0, int(at[-1]) + 1 if len(at) else 0, width):
         s, e = np.searchsorted(at, (a, a + width))
         m = np.zeros((k, width), np.float32)
         m[owner[s:e], at[s:e] - a] = 1
-        inter += m @ m.T
-    inter = inter.astype(np.int64)
-    near = 100 * inter >= PERCENT * (sizes[:, None] + sizes[None, :] - inter)
+        both += m @ m.T
+    apart = sizes[:, None] + sizes[None, :] - 2 * both.astype(np.int64)
+    near = (SLACK * apart <= n[:, None] + n[None, :]) & (u[:, None] + u[None, :] < 0)
     np.fill_diagonal(near, False)
-    if side.any():
-        near &= side[:, None] != side[None, :]
     return near
 
 
-def forest(near: np.ndarray) -> np.ndarray:
-    """For each row the least row of its component."""
-    root = np.arange(len(near))
-    while True:
-        low = np.where(near, root[None, :], len(near)).min(1) if len(near) else root
-        new = np.minimum(root, low)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
-
-
-def verify(docs: DataFrame, member: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """a, b (a spanning forest of the links in a block; b is null for counts), links: of the classes of ``member`` (doc_id, class, copies, cluster, size)."""
-    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(member, "doc_id")
-
-    def to_sets(batches):
-        for batch in batches:
-            for part in sliced(batch, "text", 1 << 20):
-                cols = {x: part.column(i) for i, x in enumerate(part.schema.names)}
-                sets = shingles.sets(cols["text"].to_pylist())
-                # A row of the same doc_id but another text isn't the class's.
-                good = [i for i, (s, c) in enumerate(zip(sets, cols["class"].to_pylist(), strict=True)) if len(s) and shingles.class_key(s) == c]
-                take = pa.array(good, pa.int64())
-                yield pa.RecordBatch.from_arrays([*[cols[x].take(take) for x in ("class", "copies", "cluster", "size")], pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["class", "copies", "cluster", "size", "tokens"])
-
-    made = texts.select("text", "class", "copies", "cluster", "size").mapInArrow(trimmed(to_sets), "class bigint, copies bigint, cluster bigint, size bigint, tokens binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    met = made.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "class", "copies", "tokens")
-    met = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "class")
+def across(hot: DataFrame, homes: DataFrame) -> DataFrame:
+    """a, b, m, need: pairs of a hot token's classes that aren't in one ball, by pairs of blocks."""
+    # A class in no ball is alone in one.
+    rows = hot.join(homes, "class", "left").withColumn("home", F.coalesce("home", F.bitwise_not("class")))
+    of = rows.groupBy("token").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("of"), F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("token", "of")
+    dealt = rows.join(of, "token").withColumn("_own", F.pmod(F.xxhash64("class"), F.col("of")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)))
+    dealt = dealt.select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "class", "home", "n", "r", "l")
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "class")
 
     def run(batches):
-        group, rows = None, {}
+        group, held, found, count = None, [], [], 0
+
+        def meet():
+            side, cls, home, n, r, match = (np.array(x, np.int64) for x in zip(*held, strict=True))
+            # Sizes ascend: partners of a class from its place on to the last that size and place allow.
+            last = np.searchsorted(n, np.minimum(100 * n // PERCENT, np.floor(7 * (r * n / 255 + match - 1) / 3 - n + 1e-6).astype(np.int64)), "right")
+            many = np.maximum(last - np.arange(len(n)) - 1, 0)
+            for s in range(0, len(n), BLOCK):
+                x = np.repeat(np.arange(s, min(s + BLOCK, len(n))), many[s : s + BLOCK])
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many[s : s + BLOCK]) - many[s : s + BLOCK], many[s : s + BLOCK])
+                need = np.minimum(match[x], match[y])
+                good = feasible(n[x], n[y], r[x], r[y], need) & (home[x] != home[y]) & (cls[x] != cls[y])
+                if group[1] != group[2]:
+                    good &= side[x] != side[y]
+                if good.any():
+                    yield cls[x[good]], cls[y[good]], need[good]
 
         def out():
-            cls = np.array(list(rows), np.int64)
-            second, copies, sets = (list(x) for x in zip(*rows.values(), strict=True))
-            copies = np.array(copies, np.int64)
-            near = links([np.frombuffer(s, np.uint64) for s in sets], np.array(second) if group[1] != group[2] else np.zeros(len(sets), bool))
-            root = forest(near)
-            n = near @ copies
-            at = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(cls[root[at]]), pa.array(n[at])], names=["a", "b", "links"])
+            a, b, m, need = _sums(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            return _rows({"a": (a, pa.int64()), "b": (b, pa.int64()), "m": (m, pa.int64()), "need": (need, pa.int64())})
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(9)], strict=True):
                 if row[:3] != group:
-                    if len(rows) > 1:
-                        yield out()
-                    group, rows = row[:3], {}
-                rows[row[4]] = (row[3], row[5], row[6])
-        if len(rows) > 1:
+                    for x in meet() if len(held) > 1 else ():
+                        found.append(x)
+                        count += len(x[0])
+                        if count > _FLUSH:
+                            yield out()
+                            found, count = [], 0
+                    group, held = row[:3], []
+                held.append(row[3:])
+        for x in meet() if len(held) > 1 else ():
+            found.append(x)
+        if found:
             yield out()
 
-    return met.mapInArrow(trimmed(run), "a bigint, b bigint, links bigint")
+    return dealt.mapInArrow(trimmed(run), "a bigint, b bigint, m bigint, need bigint")
+
+
+# The join
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row for each document."""
-    token, count = common(docs, text)
-    release(docs.sparkSession)
-    found = stored(candidates(docs, token, count, key, text), "candidates")
-    release(docs.sparkSession)
+    return _joined(docs, key, text).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Also class (null without words) and root_class, whose first document is the component's smallest."""
+    found = stored(candidates(docs, levels(docs, text), key, text), "candidates")
     rows = found.where("kind = 2").select(F.col("b").alias("doc_id"), F.col("a").alias("class"), F.col("m").alias("n_shingles"))
     classes = stored(rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("m").alias("m"), F.min("need").alias("need")).where("m >= need").select("a", "b")
-    edges = pairs.union(found.where("kind = 1").select("a", "b"))
-    clusters = components(edges)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    member = clusters.join(sizes, "root").join(classes, clusters["v"] == classes["class"]).select(F.col("first").alias("doc_id"), "class", "copies", F.col("root").alias("cluster"), "size").where(F.col("doc_id").isNotNull())
-    linked = stored(verify(docs, member, key, text), "links")
-    release(docs.sparkSession)
-    roots = components(linked.where("a <> b").select("a", "b"))
-    n = linked.groupBy("a").agg(F.sum("links").alias("links"))
-    known = classes.join(roots, classes["class"] == roots["v"], "left").join(n, classes["class"] == n["a"], "left").select("class", "first", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = stored(known, "known")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    done = known.join(least, "root").select(F.col("class").alias("_class"), "component_id", "n_links")
-    return rows.join(done, rows["class"] == done["_class"], "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    hot = found.where("kind = 1").select(F.col("a").alias("class"), F.col("b").alias("token"), F.col("m").alias("n"), F.shiftright("need", 8).alias("r"), F.col("need").bitwiseAND(255).alias("l"))
+    pairs = found.where("kind = 0").select("a", "b", "m", "need")
+    near = stored(balls(docs, classes, hot, key, text), "balls")
+    homes = near.select("class", "home")
+    pairs = pairs.unionByName(across(hot, homes)).groupBy("a", "b").agg(F.sum("m").alias("m"), F.min("need").alias("need")).where("m >= need")
+    home = [homes.select(F.col("class").alias(x), F.col("home").alias(f"home_{x}")) for x in "ab"]
+    pairs = pairs.join(home[0], "a", "left").join(home[1], "b", "left").where("home_a is null or home_b is null or home_a <> home_b").select("a", "b")
+    linked = stored(compare(docs, classes, stored(pairs, "pairs"), key, text).select("a", "b"), "links")
+    # A vertex is ordered by its first doc_id (null last), so a component's root is its smallest document.
+    vertex = F.struct(F.col("first").isNull().alias("no"), F.coalesce("first", F.lit(0)).alias("first"), "class")
+    at = classes.select("class", vertex.alias("v"))
+    edges = linked.union(near.where("home <> class").select("home", "class").toDF("a", "b"))
+    edges = edges.join(at.toDF("a", "va"), "a").join(at.toDF("b", "vb"), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    roots = components(edges).select(F.col("v.class").alias("class"), "root")
+    both = linked.union(linked.select("b", "a")).join(classes.select(F.col("class").alias("b"), "copies"), "b").select(F.col("a").alias("class"), F.col("copies").alias("links"))
+    links = reduce(DataFrame.unionByName, [both, ball_links(near)]).groupBy("class").agg(F.sum("links").alias("links"))
+    done = classes.join(roots, "class", "left").join(links, "class", "left")
+    root = F.coalesce("root", vertex)
+    done = done.select(
+        F.col("class").alias("_class"), "copies", F.when(~root["no"], root["first"]).alias("component_id"), root["class"].alias("root_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
+    done = stored(done, "done")
+    # Classes of a thousandth of all documents are at most a thousand: all tasks get them, and only the others' rows are dealt by class.
+    n = rows.count()
+    large = F.broadcast(done.where(F.col("copies") * 1000 >= n))
+    hits = rows.join(large, rows["class"] == large["_class"])
+    rest = rows.join(large, rows["class"] == large["_class"], "left_anti")
+    small = done.where(F.col("copies") * 1000 < n)
+    rest = rest.join(small, rest["class"] == small["_class"], "left")
+    out = [d.select("doc_id", "class", "root_class", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")) for d in (hits, rest)]
+    return out[0].unionByName(out[1])
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, once each; rows without words stay, as do rows of a null doc_id that no other row is linked with."""
-    rows = join(docs.select(key, text), key, text)
-    stay = stored(rows.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "stay")
-    kept = docs.join(stay.withColumnRenamed("doc_id", "_stay"), docs[key].cast("bigint").eqNullSafe(F.col("_stay")), "left_semi")
-    twice = kept.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    # Rows that repeat a doc_id: of equal texts one stays.
-    if twice.isEmpty():
+    """The rows of ``docs`` that are the first of their component: of equal ones one, and rows without words once for each doc_id and text.
+
+    First is the smallest doc_id; a component without any doc_id keeps one row of its first class.
+    """
+    rows = stored(_joined(docs.select(key, text), key, text), "joined")
+    first = rows.where("class is null or (class = root_class and doc_id <=> component_id)").select(F.col("doc_id").alias("_stay"), F.col("class").alias("_class"))
+    kept = docs.join(first.select("_stay").distinct(), docs[key].cast("bigint").eqNullSafe(F.col("_stay")), "left_semi")
+    odd = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_odd")), "odd")
+    if odd.isEmpty():
         return kept
-    odd = kept.join(twice.select(F.col(key).alias("_twice")), kept[key].eqNullSafe(F.col("_twice")), "left_semi")
-    rest = kept.join(twice.select(F.col(key).alias("_twice")), kept[key].eqNullSafe(F.col("_twice")), "left_anti")
-    return rest.unionByName(odd.dropDuplicates([key, text]))
+    # Rows that repeat a doc_id or have none: their class says which of them are meant.
+    same = docs[key].cast("bigint").eqNullSafe(F.col("_odd"))
+    clear = kept.join(odd, same, "left_anti")
+    rest = docs.join(odd, same, "left_semi")
+
+    def keyed(batches):
+        for part, sets in _texts(batches, 0):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles.class_key(s) if len(s) else None for s in sets], pa.int64())], names=["_text", "_key"])
+
+    keys = rest.select(text).distinct().mapInArrow(trimmed(keyed), "_text string, _key bigint")
+    rest = rest.join(keys, rest[text].eqNullSafe(keys["_text"])).drop("_text")
+    stay = first.join(odd, F.col("_stay").eqNullSafe(F.col("_odd")), "left_semi").distinct()
+    rest = rest.join(stay, rest[key].cast("bigint").eqNullSafe(stay["_stay"]) & rest["_key"].eqNullSafe(stay["_class"]), "left_semi")
+    rest = rest.withColumn("_one", F.when(F.col("_key").isNull(), F.col(text)))
+    return clear.unionByName(rest.dropDuplicates([key, "_key", "_one"]).drop("_key", "_one"))

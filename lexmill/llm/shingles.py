@@ -10,17 +10,17 @@ WIDTH = 5
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(WIDTH)]
 
 
-def sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
+def sets(texts: list[str | None], width: int = WIDTH, seed: int = 1) -> list[np.ndarray]:
     """For each text its distinct shingles, ascending: every ``width`` words in a row, or all words of a shorter text as one; empty without words.
 
-    A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D.
+    A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D. Two seeds give independent hashes.
     """
     raw = [(t or "").encode().lower() for t in texts]
     data, starts, ends = grams.laid(raw)
     begins, stops = grams.words(data, starts, ends)
     if not len(begins):
         return [np.zeros(0, np.uint64)] * len(texts)
-    w = grams.span_hash(grams.prefix_hash(data), begins, stops)
+    w = grams.word_hash(data, begins, stops, seed)
     first, last = np.searchsorted(begins, starts).tolist(), np.searchsorted(begins, ends).tolist()
     n = max(0, len(w) - width + 1)
     run = np.zeros(n, np.uint64)

@@ -150,28 +150,134 @@ def test_jaccard_odd_rows(docs, empty):
     assert sorted(r["doc_id"] for r in kept.where("doc_id < 4").collect()) == [0]
 
 
+def brute_table(spark, texts):
+    rows = list(enumerate(texts))
+    return frame(spark, rows), brute_components(rows)
+
+
+def joined(docs):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.join(docs).collect()}
+
+
+def near_copies(rng, base, n, changes):
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for _ in range(rng.randrange(changes + 1)):
+            w[rng.randrange(len(w))] = f"own{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("pairs", "block", "hot"), [(24, 256, 13), (2, 4, 13), (5, 3, 3)])
+def test_jaccard_balls_equal_brute_force(spark, monkeypatch, pairs, block, hot):
+    """Groups of near copies of up to 8 changes, some linked only through others; small limits send them through balls, blocks and dealt tokens.
+
+    Stages that run in workers see the module as it is on disk, so they are given the limits by their closures (:func:`limited`)."""
+    rng = random.Random(11)
+    made = [t for size, n, changes in ((60, 40, 2), (120, 60, 8), (200, 30, 12)) for t in near_copies(rng, words(rng, size), n, changes)]
+    docs, want = brute_table(spark, made + [words(rng, 50) for _ in range(20)] + made[:5])
+    limited(monkeypatch, PAIRS=pairs, BLOCK=block, HOT=hot)
+    assert joined(docs) == want
+
+
+def limited(monkeypatch, **values):
+    """Other limits, in workers too: closures are pickled by value when the module counts as made up here."""
+    from pyspark import cloudpickle
+
+    for name, value in values.items():
+        monkeypatch.setattr(jaccard, name, value)
+    cloudpickle.register_pickle_by_value(jaccard)
+
+
+@pytest.fixture(autouse=True)
+def by_reference_again():
+    yield
+    from pyspark import cloudpickle
+
+    if jaccard.__name__ in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.unregister_pickle_by_value(jaccard)
+
+
+def test_a_licence_on_many_pages_links_nothing(spark):
+    """600 documents of own words and one passage: no candidate group, no link; nor with a passage that is most of each."""
+    rng = random.Random(4)
+    licence = " ".join(f"lic{i}" for i in range(40))
+    for own in (40, 9):
+        docs = frame(spark, [(i, " ".join(f"o{rng.randrange(10**9)}" for _ in range(own)) + " " + licence) for i in range(600)])
+        assert {r[1:] for r in joined(docs).values()} == {(i, 0) for i in range(600)}
+        table = jaccard.levels(docs)
+        found = jaccard.candidates(docs, table).where("kind = 0 and m >= need").count()
+        assert found == 0
+
+
+def test_a_token_in_half_of_all_documents(spark):
+    rng = random.Random(6)
+    line = "this very line is in half of all documents of the table"
+    docs, want = brute_table(spark, [(line + " " if i % 2 else "") + words(rng, rng.choice((0, 3, 12, 40)), 4000) for i in range(300)])
+    assert joined(docs) == want
+
+
+def test_words_of_equal_polynomial_hash_are_told_apart(spark):
+    """Two Thue-Morse words are equal under every polynomial modulo 2**64; here they aren't."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for seed in (1, 2):
+        (x,), (y,) = shingles.sets([a], seed=seed), shingles.sets([b], seed=seed)
+        assert x.tolist() != y.tolist()
+    docs, want = brute_table(spark, [a, b, a[:63], b[:63], a[:64], b[:64], a[:65], b[:65]])
+    assert joined(docs) == want and {v[2] for v in want.values()} == {0}
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.randrange(200))) + "x" * rng.randrange(80) for _ in range(50)]
+    many = shingles.sets(texts)
+    assert all(np.array_equal(m, shingles.sets([t])[0]) for m, t in zip(many, texts, strict=True))
+
+
 def test_many_matches_lose_nothing():
-    """Whatever l each set takes, linked sets share as many prefix tokens as the smaller l."""
+    """Whatever l each set takes, linked sets share as many feasible prefix tokens as the smaller l."""
     rng = np.random.default_rng(1)
-    for _ in range(300):
+    linked = 0
+    for _ in range(400):
         n = int(rng.integers(1, 120))
-        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
         cut = rng.random(len(a)) < 0.1
-        b = np.unique(np.concatenate([a[~cut], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)]))
+        b = np.unique(np.concatenate([a[~cut], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)]))
         inter = len(np.intersect1d(a, b))
         if not len(b) or 100 * inter < 75 * (len(a) + len(b) - inter):
             continue
-        token = np.sort(rng.choice(a, len(a) // 2, replace=False))
-        count = rng.integers(8, 500, len(token))
-        (pa_, la), (pb, lb) = jaccard.prefix(a, token, count), jaccard.prefix(b, token, count)
-        assert len(np.intersect1d(pa_, pb)) >= min(la, lb)
+        linked += 1
+        table = np.zeros(1 << jaccard.SLOTS, np.uint8)
+        some = rng.choice(a, len(a) // 2, replace=False)
+        table[some >> np.uint64(64 - jaccard.SLOTS)] = rng.integers(3, 12, len(some))
+        (pa_, la, _), (pb, lb, _) = jaccard.prefix(a, table), jaccard.prefix(b, table)
+        need, m = min(la, lb), 0
+        for t in np.intersect1d(pa_, pb):
+            ra, rb = (np.ceil(255 * (len(s) - p.tolist().index(t)) / len(s)) for s, p in ((a, pa_), (b, pb)))
+            m += bool(jaccard.feasible(len(a), len(b), ra, rb, need))
+        assert m >= need
+    assert linked > 100
+
+
+def test_levels_count_documents(spark):
+    rng = random.Random(8)
+    line = "ten words that stand in sixty four documents of all"
+    docs = frame(spark, [(i, words(rng, 30, 9000) + (" " + line if i < 64 else "")) for i in range(100)])
+    table = jaccard.levels(docs)
+    (s,) = shingles.sets([line])
+    assert set(table[s >> np.uint64(64 - jaccard.SLOTS)].tolist()) == {6}
+    assert (table > 0).sum() == len(s)
 
 
-def test_common_tokens_meet_as_stars():
-    h = np.repeat(np.arange(3, dtype=np.uint64), 40)
-    c = np.tile(np.arange(40, dtype=np.int64), 3)
-    out = list(jaccard._meet(h, c, np.full(120, 100, np.uint16), np.ones(120, np.uint8)))
-    assert [b.column(0).to_pylist()[0] for b in out] == [1] and out[0].num_rows == 39
+def test_representatives_of_rows_without_ids(spark):
+    rng = random.Random(3)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(None, a), (None, a), (None, a + " x"), (7, b), (7, a + " y"), (9, b + " z"), (None, None), (8, "")]
+    kept = jaccard.representatives(frame(spark, rows))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(7, b), (7, a + " y"), (None, None), (8, "")], key=repr)
 
 
 def test_components(spark):
