@@ -553,8 +553,8 @@ def test_pages(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert len(got) == len(rows) and by[1] == "H & t\na b c d e\ntwo" and by[2] == by[3] == "" and by[4] == "m"
     assert all(by[100 + i] == f"Own {i}" for i in range(8)) and all(r["n_chars"] == len(r["text"]) for r in got)
-    classes = pages.template(d).where("host = 'b.example'").collect()
-    assert any(len(c["texts"]) == 2 for c in classes)
+    (made,) = pages.templates(d).where("host = 'b.example'").collect()
+    assert len(made["texts"]) == 2 and {c["outer"] for c in made["classes"]} == {-1}
     assert pages.extract(d.where("false")).count() == 0
 
 
@@ -581,6 +581,76 @@ def test_pages_attributes():
         assert pages.main_text(page(f"<article><p>a</p><p {gone}>b</p></article>")) == "a"
 
 
+def extracted(spark, bodies, url="http://a.example/"):
+    rows = [(i, url, page(b, i)) for i, b in enumerate(bodies)]
+    return [r["text"] for r in sorted(pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])]
+
+
+def test_pages_without_article_or_names(spark):
+    """Only the template's slots and what they hold on the host's pages tell the text from menu, advert and footer."""
+    rng = random.Random(12)
+    own = [(words(rng, 6), [words(rng, rng.randrange(8, 40)) for _ in range(rng.randrange(1, 5))], words(rng, 4)) for _ in range(9)]
+    bodies = [
+        f"<div><a href='/'>Home</a> <a href='/{i}'>{words(rng, 2)}</a></div><div>{ad}</div><div><h1>{head}</h1>{''.join(f'<p>{x}</p>' for x in text)}<ul><li><a href='#'>{words(rng, 5)}</a></li></ul></div><div>All rights</div>"
+        for i, (head, text, ad) in enumerate(own)
+    ]
+    assert extracted(spark, bodies) == ["\n".join([head, *text]) for head, text, _ in own]
+    # The same page alone, and one that has another layout than its host.
+    other = "<section><h2>Odd</h2><p>one out, of which there is a sentence</p></section>"
+    assert extracted(spark, [*bodies, other])[-1] == "Odd\none out, of which there is a sentence"
+    assert pages.main_text(page(bodies[0])) == "\n".join([own[0][0], *own[0][1]])
+
+
+def test_pages_keep_content_of_any_name(spark):
+    rng = random.Random(13)
+    own = [[words(rng, 30) for _ in range(3)] for _ in range(6)]
+    bodies = [f"<article><p>{a}</p><div class='related-work'>{b}</div></article><div class=promo>buy {i}</div><article><div class='notice-of-appeal'>{c}</div></article>" for i, (a, b, c) in enumerate(own)]
+    assert extracted(spark, bodies) == ["\n".join(x) for x in own]
+
+
+def test_pages_comments_longer_than_the_article(spark):
+    rng = random.Random(14)
+    own = [words(rng, 30) for _ in range(7)]
+    bodies = [f"<article><p>{x}</p></article><div class='reader-comments'>{''.join(f'<article><p>{words(rng, 40)}</p></article>' for _ in range(5))}</div>" for x in own]
+    assert extracted(spark, bodies) == own
+    bodies = [f"<div><h1>h</h1><p>{x}</p></div><div id='comments'>{''.join(f'<p>{words(rng, 40)}</p>' for _ in range(5))}</div>" for x in own]
+    assert [t.split("\n")[-1] for t in extracted(spark, bodies)] == own
+
+
+def test_pages_occurrence_vectors_equal_brute_force(spark):
+    """Classes from aggregated hashes are those of the vectors themselves."""
+    rng = random.Random(15)
+    bodies = [f"<div class=x><p>Always</p>{'<p>Often</p><b>Often too</b>' if i % 4 else ''}{'<ul><li>a</li><li>b</li></ul>' * (i % 3)}<p>{words(rng, 9)}</p></div>" for i in range(12)]
+    html = [page(b, i) for i, b in enumerate(bodies)]
+    vectors = defaultdict(lambda: [0] * len(html))
+    for i, h in enumerate(html):
+        for t in pages.tokens_of(pages.read(h)):
+            vectors[t[0]][i] = t[4]
+    classes = defaultdict(set)
+    for token, v in vectors.items():
+        if sum(map(bool, v)) >= max(pages.CLASS_PAGES, pages.SUPPORT * len(html)):
+            classes[tuple(v)].add(token)
+    rows = [(i, "http://a.example/", h) for i, h in enumerate(html)]
+    (made,) = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = defaultdict(set)
+    for c in made["classes"]:
+        got[c["number"]].add(c["token"])
+    # A valid class is a vector's tokens, or those of them that lie in one slot.
+    assert all(any(members <= whole for whole in classes.values()) for members in got.values())
+    assert {frozenset(w) for w in classes.values() if len(w) > 1} == {frozenset(w) & frozenset(x) for w in classes.values() if len(w) > 1 for x in [set().union(*got.values())]}
+    outer = {c["number"]: c["outer"] for c in made["classes"]}
+    assert -1 in outer.values() and any(o >= 0 for o in outer.values())
+
+
+@pytest.mark.parametrize("bad", ["<x ", '<x "', "<a b='", "<!x ", "<!-- ", "</x ", "<a =", "<div>", "<p>a", "<p><b>", "<li><ul>", "<script>"])
+def test_pages_hard_markup_is_linear(bad):
+    import time
+
+    begun = time.perf_counter()
+    pages.main_text(bad * ((1 << 20) // len(bad)))
+    assert time.perf_counter() - begun < 8
+
+
 # 8
 
 
