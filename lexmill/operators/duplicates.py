@@ -26,8 +26,11 @@ def shingles(text, k: int = SHINGLE) -> Column:
     """Distinct hashes of k lower-cased words in a row; a shorter text is one shingle, an empty one none."""
     words = T.matches(F.lower(F.col(text)), r"\w+")
     n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
-    return F.when(n > 0, F.array_distinct(many)).otherwise(F.array().cast("array<bigint>"))
+    # The words, the words from the second on, ... side by side: nothing is cut out of the array for each shingle.
+    beside = F.arrays_zip(*[F.slice(words, i + 1, F.greatest(n - (k - 1), F.lit(0))).alias(f"w{i}") for i in range(k)])
+    many = F.transform(beside, lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{i}"] for i in range(k)])))
+    one = F.array(F.xxhash64(F.array_join(words, " ")))
+    return F.when(n >= k, F.array_distinct(many)).when(n > 0, one).otherwise(F.array().cast("array<bigint>"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

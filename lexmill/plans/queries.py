@@ -11,7 +11,7 @@ from lexmill.functions import lexicon, patterns
 from lexmill.functions import text as T
 from lexmill.functions.stem import stem_table
 from lexmill.operators import duplicates, pipelines, retrieval, statistics, subword, tagging
-from lexmill.sources import files
+from lexmill.sources import files, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,17 +39,46 @@ def _in_sql(pattern: str) -> str:
     return patterns.re2(pattern).replace("'", "''")
 
 
-# What many queries begin with, in SQL.
-_WS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(replace(text, '‑', '-'), '\bcan''t\b', 'can not', 'gi'), '\bwon''t\b', 'will not', 'gi'), 'n''t\b', ' not', 'g')"
-_TOKENS = f"regexp_extract_all({_NORM}, '{_in_sql(patterns.TOKEN)}')"
-# Plain terms: lower-cased custom tokens with a letter or digit, without the number policy.
-_TERMS = rf"list_filter(list_transform({_TOKENS}, lambda x: lower(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
-_LINES = r"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))"
+# What many queries begin with, in SQL. DuckDB's expressions have no lookaround: what it would ask for is captured and put
+# back, or marked with a control character that no text has and taken out again.
+_MARK = chr(1)
+
+
+def _policy_sql(text: str) -> str:
+    """The number policy of an expression."""
+    for c in patterns.DROPPED_CATEGORIES:
+        p = patterns.NUMBER_CATEGORIES[c]
+        if c == "statistical value":
+            text = rf"regexp_replace({text}, '\b0(\.\d+\s?(?:mg|ml|g|%))', '0{_MARK}\1', 'g')"
+            text = rf"replace(regexp_replace({text}, '(^|[^\p{{L}}\p{{N}}_.])-?0\.\d+\b', '\1 ', 'g'), '{_MARK}', '')"
+        else:
+            text = f"regexp_replace({text}, '{_in_sql(p)}', ' ', 'g')"
+    return text
+
+
+def _norm_sql(text: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(replace({text}, '‑', '-'), '\bcan''t\b', 'can not', 'gi'), '\bwon''t\b', 'will not', 'gi'), 'n''t\b', ' not', 'g')"
+
+
+def _content_sql(text: str) -> str:
+    """Content tokens of an expression: policy, custom tokens, lower case, with a letter or digit."""
+    tokens = f"regexp_extract_all({_norm_sql(_policy_sql(text))}, '{_in_sql(patterns.TOKEN)}')"
+    return rf"list_filter(list_transform({tokens}, lambda x: lower(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
 
 
-def plain_terms(text):
-    return F.filter(F.transform(T.tokens(text), F.lower), T.has_alnum)
+def _sentences_sql(text: str) -> str:
+    """Units of an expression: lines, and in them what the sentence rule parts."""
+    guard = "|".join(a[:-1].replace(".", r"\.") for a in T.ABBREVIATIONS)
+    kept = rf"regexp_replace({text}, '\b({guard})\.(\s)', '\1.{_MARK}\2', 'g')"
+    cut = rf"regexp_replace({kept}, '([.!?][\"'')\]]?)[^\S\n]+([\"''(\[]?[\p{{Lu}}\p{{N}}])', '\1' || chr(10) || '\2', 'g')"
+    return rf"list_filter(string_split(replace({cut}, '{_MARK}', ''), chr(10)), lambda x: regexp_matches(x, '\S'))"
+
+
+_WS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+_TOKENS = f"regexp_extract_all({_norm_sql('text')}, '{_in_sql(patterns.TOKEN)}')"
+_TERMS = _content_sql("text")
+_UNITS = _sentences_sql("text")
+_LINES = r"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))"
 
 
 @_query(rf"SELECT doc_id, len(string_split(text, '.')) - 1 AS sentences, len({_WS}) AS tokens, length(text) AS characters, len(list_distinct(list_transform({_WS}, lambda x: lower(x)))) AS vocabulary FROM documents")
@@ -150,7 +179,7 @@ def number_policy_effect(spark, sf_dir):
 
 @_query(rf"SELECT doc_id, len({_TERMS}) AS n_terms, len(list_distinct({_TERMS})) AS n_distinct FROM documents")
 def content_token_counts(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", plain_terms("text").alias("t"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", T.content_tokens("text").alias("t"))
     return rows.select("doc_id", F.size("t").cast("bigint").alias("n_terms"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
 
 
@@ -162,7 +191,7 @@ SELECT list, list_size, sum(CASE WHEN kept THEN n ELSE 0 END)::BIGINT AS kept_to
 
 
 def _terms(spark, sf_dir) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select(F.explode(plain_terms("text")).alias("term"))
+    return _read(spark, sf_dir, "documents").select(F.explode(T.content_tokens("text")).alias("term"))
 
 
 @_query(_stop_sql())
@@ -218,17 +247,17 @@ def order_stop_stem(spark, sf_dir):
     return statistics.order_effect(_terms(spark, sf_dir))
 
 
-# N-grams inside lines
+# N-grams inside sentences
 
 
-_LINE_TERMS = f"SELECT doc_id, i, {_TERMS} AS t FROM (SELECT doc_id, unnest({_LINES}) AS text, generate_subscripts({_LINES}, 1) AS i FROM documents)"
+_LINE_TERMS = f"SELECT doc_id, i, {_TERMS} AS t FROM (SELECT doc_id, unnest({_UNITS}) AS text, generate_subscripts({_UNITS}, 1) AS i FROM documents)"
 _GRAMS = f"""WITH l AS ({_LINE_TERMS}), g AS (SELECT n, array_to_string(t[i:i + n - 1], ' ') AS gram FROM (SELECT n, t, unnest(range(1, len(t) - n + 2)) AS i FROM l, (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE len(t) >= n)),
 c AS (SELECT n, gram, count(*) AS "count" FROM g GROUP BY n, gram)"""
 
 
 def _grams(spark, sf_dir) -> DataFrame:
-    lines = _read(spark, sf_dir, "documents").select(F.explode(T.lines("text")).alias("s")).select(plain_terms("s").alias("terms"))
-    return statistics.sentence_ngrams(lines)
+    units = _read(spark, sf_dir, "documents").select(F.explode(T.sentences("text")).alias("s")).select(T.content_tokens("s").alias("terms"))
+    return statistics.sentence_ngrams(units)
 
 
 @_query(_GRAMS + 'SELECT n, sum("count")::BIGINT AS total, count(*) AS "distinct", round(100 * sum(("count" = 1)::INT) / count(*), 6) AS seen_once_pct FROM c GROUP BY n')
@@ -246,7 +275,7 @@ def phrase_ngrams(spark, sf_dir):
     return statistics.top_grams(statistics.phrase_grams(_grams(spark, sf_dir))).select("n", "gram", "count")
 
 
-# Index and search, over lines as sentences
+# Index and search
 
 
 _INDEX = f"""WITH l AS ({_LINE_TERMS}), b AS (SELECT *, coalesce(sum(len(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_ FROM l),
@@ -254,13 +283,28 @@ p AS (SELECT unnest(t) AS term, doc_id, begin_ + generate_subscripts(t, 1) - 1 A
 tf AS (SELECT term, doc_id, count(*) AS tf FROM p GROUP BY 1, 2), df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS occ FROM tf GROUP BY 1)"""
 
 
+#: Stored indexes of this driver, by application and input files.
+_STORED: dict[tuple, str] = {}
+
+
 def _index(spark, sf_dir) -> retrieval.Index:
-    return retrieval.build(_read(spark, sf_dir, "documents"), plain_terms, T.lines)
+    """The stored index of the documents: built by the first query that asks, read by the others."""
+    docs = _read(spark, sf_dir, "documents")
+    own = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if own not in _STORED:
+        path = scratch.new_path(spark, "index")
+        retrieval.build(docs).save(path, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        _STORED[own] = path
+    return retrieval.Index.load(spark, _STORED[own])
+
+
+def _fresh_index(spark, sf_dir) -> retrieval.Index:
+    return retrieval.build(_read(spark, sf_dir, "documents"))
 
 
 @_query(_INDEX + " SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(pos)::BIGINT AS pos_sum FROM p GROUP BY term")
 def index_postings(spark, sf_dir):
-    return _index(spark, sf_dir).postings.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("s")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.sum("s").alias("pos_sum"))
+    return _fresh_index(spark, sf_dir).postings.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("s")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.sum("s").alias("pos_sum"))
 
 
 @_query(_INDEX + " SELECT count(*) AS terms, sum(df)::BIGINT AS postings, sum(occ)::BIGINT AS positions, round(avg(df), 6) AS docs_per_term, round(100 * avg((df = 1)::INT), 6) AS in_one_doc_pct, sum((df = n)::INT)::BIGINT AS in_every_doc, any_value(n) AS documents FROM df, nd")
@@ -268,7 +312,7 @@ def index_statistics(spark, sf_dir):
     return _rounded(retrieval.statistics(_index(spark, sf_dir)), "docs_per_term", "in_one_doc_pct")
 
 
-@_query(f"SELECT doc_id, sum(len(t))::BIGINT AS length FROM ({_LINE_TERMS}) GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE len({_LINES}) = 0")
+@_query(f"SELECT doc_id, sum(len(t))::BIGINT AS length FROM ({_LINE_TERMS}) GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE len({_UNITS}) = 0")
 def doc_length(spark, sf_dir):
     return _index(spark, sf_dir).documents
 
@@ -283,7 +327,7 @@ _KEYWORD = _INDEX + ", s AS (SELECT doc_id, sum((1 + ln(tf)) * ln(n / df)) AS sc
 
 @_query(_KEYWORD.replace("<words>", "'thing', 'und', 'nowhere'") + " SELECT doc_id, round(score, 6) AS score FROM s")
 def keyword_search(spark, sf_dir):
-    return _rounded(retrieval.search(_index(spark, sf_dir), "thing und nowhere", "keyword", plain_terms).orderBy("doc_id"), "score")
+    return _rounded(retrieval.search(_index(spark, sf_dir), "thing und nowhere", "keyword").orderBy("doc_id"), "score")
 
 
 @_query(_KEYWORD.replace("<words>", "'trash', 'whble'") + " SELECT doc_id, round(score, 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 10")
@@ -308,25 +352,25 @@ def _boolean_sql(condition: str) -> str:
 
 @_query(_boolean_sql("<trash> AND <thing>"))
 def boolean_and(spark, sf_dir):
-    return retrieval.boolean(_index(spark, sf_dir), "trash AND thing", plain_terms)
+    return retrieval.boolean(_index(spark, sf_dir), "trash AND thing")
 
 
 @_query(_boolean_sql("<license> OR <und>"))
 def boolean_or(spark, sf_dir):
-    return retrieval.boolean(_index(spark, sf_dir), "license OR und", plain_terms)
+    return retrieval.boolean(_index(spark, sf_dir), "license OR und")
 
 
 @_query(_boolean_sql("<license> AND NOT <thing>"))
 def boolean_not(spark, sf_dir):
-    return retrieval.boolean(_index(spark, sf_dir), "license NOT thing", plain_terms)
+    return retrieval.boolean(_index(spark, sf_dir), "license NOT thing")
 
 
 @_query(_boolean_sql("<of the> AND (<trash> OR NOT <license>)"))
 def boolean_nested(spark, sf_dir):
-    return retrieval.boolean(_index(spark, sf_dir), '"of the" AND (trash OR NOT license)', plain_terms)
+    return retrieval.boolean(_index(spark, sf_dir), '"of the" AND (trash OR NOT license)')
 
 
-@_query(_INDEX + f""", f AS (SELECT doc_id, min(pos) AS pos FROM p WHERE term IN ('trash', 'license') GROUP BY doc_id), x AS (SELECT doc_id, unnest({_LINES}) AS s, generate_subscripts({_LINES}, 1) AS i FROM documents)
+@_query(_INDEX + f""", f AS (SELECT doc_id, min(pos) AS pos FROM p WHERE term IN ('trash', 'license') GROUP BY doc_id), x AS (SELECT doc_id, unnest({_UNITS}) AS s, generate_subscripts({_UNITS}, 1) AS i FROM documents)
 SELECT doc_id, CASE WHEN length(s) > 160 THEN left(s, 160) || '...' ELSE s END AS snippet FROM f JOIN b USING (doc_id) JOIN x USING (doc_id, i) WHERE len(t) > 0 AND pos BETWEEN begin_ AND begin_ + len(t) - 1""")
 def snippet_first_sentence(spark, sf_dir):
     return retrieval.first_snippet(_index(spark, sf_dir), ["trash", "license"])
@@ -358,9 +402,9 @@ _MEASURES = ("precision", "recall", "f1", "p_at_3", "p_at_5", "r_at_3", "r_at_5"
 def _ranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     index = _index(spark, sf_dir)
     q = spark.createDataFrame([("Q1", "trash"), ("Q1", "license"), ("Q2", "thing"), ("Q3", "und"), ("Q3", "der")], "query_id string, term string")
-    tf = index.postings.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    n = index.documents.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
+    words = sorted({r["term"] for r in q.select("term").collect()})
+    tf = index.postings.where(F.col("term").isin(*words)).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    idf = index.df(words).select("term", "idf")
     scored = tf.join(F.broadcast(idf), "term").join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf")), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     judged = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").crossJoin(F.broadcast(q.select("query_id").distinct()))
@@ -479,7 +523,7 @@ a AS (SELECT doc_id, term, count(*) AS g FROM g GROUP BY 1, 2), b AS (SELECT doc
 s AS (SELECT sum(least(g, p))::BIGINT AS correct, sum(greatest(p - g, 0))::BIGINT AS incorrect, sum(greatest(g - p, 0))::BIGINT AS missed FROM f)
 SELECT correct, incorrect, missed, round(correct / (correct + incorrect), 6) AS "precision", round(correct / (correct + missed), 6) AS recall, round(2 * correct / (2 * correct + incorrect + missed), 6) AS f1 FROM s""")
 def bag_scores(spark, sf_dir):
-    gold = _read(spark, sf_dir, "documents").select("doc_id", F.explode(plain_terms("text")).alias("term"))
+    gold = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.content_tokens("text")).alias("term"))
     return _rounded(tagging.bag_score(gold, gold.withColumn("term", T.light_stem("term")), ["doc_id", "term"]), "precision", "recall", "f1")
 
 
@@ -491,7 +535,7 @@ def rule_tags(spark, sf_dir):
 
 @_query(rf"""WITH t AS (SELECT role, unnest({_TERMS}) AS term FROM conversations) SELECT role, count(*) AS terms, count(DISTINCT term) AS vocabulary FROM t GROUP BY role""")
 def conversation_terms(spark, sf_dir):
-    rows = _read(spark, sf_dir, "conversations").select("role", F.explode(plain_terms("text")).alias("term"))
+    rows = _read(spark, sf_dir, "conversations").select("role", F.explode(T.content_tokens("text")).alias("term"))
     return rows.groupBy("role", "term").agg(F.count("*").alias("n")).groupBy("role").agg(F.sum("n").alias("terms"), F.count("*").alias("vocabulary"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import lexicon, patterns, stem
 from lexmill.functions import text as T
-from lexmill.operators import duplicates, pipelines, retrieval, sections, statistics, subword, tagging
+from lexmill.operators import boolean, duplicates, pipelines, retrieval, sections, statistics, subword, tagging
 from lexmill.sources import files
 from lexmill.streaming import index as stream
 
@@ -136,8 +136,24 @@ def test_malformed_queries(index, query):
 
 
 def test_parser():
-    assert [v for _, v in retrieval.parse_boolean('a b "c d" NOT e')] == ["a b", "c d".join('""'), "AND", "e", "NOT", "AND"]
-    assert retrieval.positive_words('a NOT "b c" OR d') == "a d"
+    a, b, phrase = boolean.Operand("a b"), boolean.Operand("e"), boolean.Operand("c d", True)
+    assert boolean.parse('a b "c d" NOT e') == boolean.All((a, phrase, boolean.Not(b)))
+    assert boolean.parse("a b OR e AND NOT NOT (e)") == boolean.Any((a, boolean.All((b, boolean.Not(boolean.Not(b))))))
+    assert boolean.parse(' a "b') == boolean.parse("(a b)") == a and boolean.parse('""c d"') == phrase and boolean.parse('(e)(e)"c d"') == boolean.All((b, b, phrase))
+    assert boolean.without_hits(boolean.parse("a OR NOT e")) and not boolean.without_hits(boolean.parse('"c d" AND (a OR NOT e)'))
+    assert retrieval.positive_words('a NOT "b c" OR d') == "a d" and retrieval.positive_words("x NOT (y OR z)") == "x"
+
+
+def test_boolean_reads_the_postings_once(spark, index, tmp_path):
+    index.save(str(tmp_path / "ix"), 2)
+    stored = retrieval.Index.load(spark, str(tmp_path / "ix"))
+    query = '"panic disorder" AND (CBT OR NOT plans)'
+    found = retrieval.boolean(stored, query)
+    assert ids(found) == ids(retrieval.boolean(index, query))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    assert {r["term"]: r["df"] for r in stored.counts().collect()} == {r["term"]: r["df"] for r in index.counts().collect()}
+    assert ids(retrieval.boolean(stored, "NOT zzz")) == [1, 2, 3, 4, 5]
 
 
 def test_evaluation(spark):
