@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources.scratch import new_path
+
 #: What separates words everywhere in this subpackage; the regex of a word is its complement.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,52 +21,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Applications whose scratch tables are deleted when the driver ends.
-_APPLICATIONS: set[str] = set()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests) a temporary folder serves; on a cluster each machine would have one of its own, so that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lexmill-scratch")
-    own = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-    if own not in _APPLICATIONS:
-        _APPLICATIONS.add(own)
-        atexit.register(_delete, spark, own)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder; what a driver that was lost leaves behind lies under its application's name."""
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-    except Exception:  # noqa: BLE001 (the JVM may be gone already; a scratch folder is no result)
-        pass
-
-
 #: Spark drops the shuffle files of a query when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as a table in the shared scratch folder and reads it again. Its shuffle files go when it is written."""
-    spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN)
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Queries that end in here leave no shuffle files."""
+    before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Nothing is left to do: :func:`stored` drops its shuffle files."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes ``df`` as a table in the shared scratch folder and reads it again. Its shuffle files go when it is written."""
+    path = new_path(df.sparkSession, name)
+    with cleaned(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """Joins ``table`` (a written one, with a row for each ``key`` and in ``weight`` its number of ``rows``) to ``rows`` without a task for a hot key.
+
+    Keys of a thousandth of all rows are at most a thousand: all tasks get those. Only the others' rows are dealt by key.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    large = F.broadcast(table.where(F.col(weight) * 1000 >= total).drop(weight))
+    small = table.where(F.col(weight) * 1000 < total).drop(weight)
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key, how), allowMissingColumns=True)
 
 
 def held_out(key: str = "doc_id"):
@@ -75,20 +60,32 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
+#: A task that has seen fewer bytes leaves its worker as it is.
+_TRIM = 4 << 20
+
+
 def trimmed(run: Callable, after: Callable[[], None] | None = None) -> Callable:
     """Wraps a function of Arrow batches: after a partition its worker gives freed memory back, as workers live on for other stages."""
 
     def wrapped(batches):
+        seen = 0
+
+        def counted():
+            nonlocal seen
+            for batch in batches:
+                seen += batch.nbytes
+                yield batch
+
         try:
-            yield from run(batches)
+            yield from run(counted())
         finally:
-            del batches
-            if after:
-                after()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
-                _libc.malloc_trim(0)
+            if seen > _TRIM:
+                if after:
+                    after()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                if hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
+                    _libc.malloc_trim(0)
 
     return wrapped
 

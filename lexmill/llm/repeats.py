@@ -3,18 +3,18 @@
 Windows of 100 bytes choose anchors by content (:mod:`lexmill.llm.winnow`), so equal windows have equal anchors at equal
 places, and only about one position in 32 travels:
 
-1. Each anchor goes to the task of its hash with a second hash of all that its run of windows covers. A run whose content
-   stands earlier is a repeat as a whole; tasks that send do this first among their own rows, so a passage of a third of
-   all documents is sent once by each. Anchors with one content are done.
-2. Of anchors with a few contents, the first of each content sends its bytes (at most 168). There the suffixes meet: few
-   of them by longest common extensions (binary search over prefix polynomial hashes), more by a suffix sort (merge sort
-   with the same logarithmic comparisons), where neighbours that agree in 100 bytes are equal windows. Every agreement
-   found by hashes is verified on the bytes.
-3. Anchors with more contents than :data:`CONTENTS` (the ends of a passage that very many documents share) never meet in
-   one task: each of their windows goes to the task of its own hash, after the same reduction among a sender's rows.
+1. Each anchor goes to the task of its hash with a second hash of all that its run of windows covers. Tasks that send
+   first find runs that repeat among their own rows, by hash and then by bytes, so a passage of a third of all documents
+   is sent once by each. Anchors that are met once are done.
+2. Of the others each row sends its bytes (at most 168) to the anchor's task. Runs equal as a whole are told by a hash and
+   compared with their first on the bytes. There the suffixes of what is left meet: a merge sort whose comparisons find
+   common extensions by binary search over prefix polynomial hashes. The sorted order is verified on the bytes, and a
+   group where a collision has misled it is sorted by bytes; neighbours that agree in 100 bytes are equal windows.
+3. Anchors of more rows than :data:`ROWS` (a passage that very many documents share) never meet in one task: each window
+   goes with its bytes to the task of its own hash, after the same reduction among a sender's rows.
 4. What was found is joined to the texts.
 
-Whole runs (1) and windows of very common anchors (3) rely on 128 and 64 bits of hash; bytes aren't there to compare.
+Hashes only choose what meets: with hashes of a few bits the result is the same.
 
 Defined cases: a null text counts as empty; earlier means a smaller doc_id (null first, then by a hash of the text where
 a doc_id repeats with other texts) or in the same text an earlier start; rows that repeat both doc_id and text are one
@@ -30,22 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import grams, winnow
-from lexmill.llm.common import map_arrow, release, sliced, stored, trimmed
+from lexmill.llm.common import map_arrow, sliced, stored, trimmed
 from lexmill.llm.suffixes import Text
 
 LENGTH, GRAM = 100, 32
 #: Most bytes before an anchor in its run, and bytes of a run.
 LEFT = LENGTH - GRAM
 SEGMENT = 2 * LEFT + GRAM
-#: Contents of an anchor up to which they meet in one task, and up to which each pair is compared.
-CONTENTS, PAIRS = 64, 8
+#: Rows of an anchor up to which they meet in one task.
+ROWS = 512
 _SLICE, _FLUSH = 1 << 20, 400_000
+#: Rows that are sorted at once.
+SLICED = 4_000
+#: Bits of the hashes in use; fewer cost time and never a result.
+ANCHOR, CONTENT = np.uint64(2**64 - 1), np.uint64(2**64 - 1)
 _NAMES = ("bucket", "kind", "data")
 _SCHEMA = "bucket int, kind int, data binary"
 ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("n", "u1"), ("off", "u1"), ("big", "u1")])
 ASKED = np.dtype([("g", "<u8"), ("s", "<i4"), ("n", "u1"), ("off", "u1")])
 SENT = np.dtype([("g", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("n", "u1"), ("off", "u1"), ("text", "u1", SEGMENT)])
-WINDOW = np.dtype([("w", "<u8"), ("rid", "<i8"), ("s", "<i4")])
+WINDOW = np.dtype([("w", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("text", "u1", LENGTH)])
 MARK = np.dtype([("rid", "<i8"), ("s", "<i4"), ("e", "<i4")])
 #: Kinds of packed rows.
 MARKS, FEW, MANY, ENTRIES = 1, 2, 3, 4
@@ -95,25 +99,44 @@ def _marks(rid: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def _sort_entries(e: np.ndarray) -> np.ndarray:
-    return e[np.lexsort((e["s"], e["rid"], e["c"], e["g"]))]
+    return np.lexsort((e["s"], e["rid"], e["c"], e["g"]))
+
+
+def _equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Are the n bytes at x and at y the same? n is at most a segment's length."""
+    out, col = np.zeros(len(x), bool), np.arange(SEGMENT)
+    for a in range(0, len(x), 50_000):
+        at = slice(a, a + 50_000)
+        inside = col[None, :] < n[at, None]
+        look = [data[np.minimum(z[at, None] + col, len(data) - 1)] for z in (x, y)]
+        out[at] = ((look[0] == look[1]) | ~inside).all(1)
+    return out
 
 
 def _anchors(texts: DataFrame, parts: int) -> DataFrame:
-    """rid, kind, data: marks of runs that repeat as a whole, and what is asked of each text."""
+    """rid, kind, data: marks of runs that repeat as a whole among a sender's rows, and what is asked of each text."""
 
     def deal(batches):
-        held, n = [], 0
+        held, pieces, n, size = [], [], 0, 0
 
         def out():
-            e = _sort_entries(np.concatenate(held))
-            first = _starts(e["g"], e["c"])
-            again, e = e[~first], e[first]
+            e, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = _sort_entries(e)
+            e, at, data = e[order], at[order], np.concatenate(pieces)
+            lead = _starts(e["g"], e["c"])
+            first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+            later = np.flatnonzero(~lead)
+            same = (e["n"][later] == e["n"][first[later]]) & (e["off"][later] == e["off"][first[later]])
+            same[same] = _equal_bytes(data, at[later[same]], at[first[later[same]]], e["n"][later[same]].astype(np.int64) + LENGTH)
+            rest = np.ones(len(e), bool)
+            rest[later[same]] = False
+            again, e = e[~rest], e[rest]
             rows = []
             if len(again):
                 m = _marks(again["rid"], again["s"], again["s"] + again["n"])
                 rows += _deal(MARKS, m, m["rid"].view(np.uint64) << np.uint64(20), parts)
             group = np.cumsum(_starts(e["g"])) - 1
-            many = np.bincount(group)[group] > CONTENTS
+            many = np.bincount(group)[group] > ROWS
             if many.any():
                 ask = e[many]
                 rows += _deal(MANY, ask, ask["rid"].view(np.uint64) << np.uint64(20), parts)
@@ -132,13 +155,14 @@ def _anchors(texts: DataFrame, parts: int) -> DataFrame:
                 if not len(d):
                     continue
                 e = np.zeros(len(d), ENTRY)
-                e["g"], e["rid"], e["s"], e["n"], e["off"] = g, rid[d], s1 - starts[d], s2 - s1, a - s1
-                e["c"] = grams.mixed(grams.span_hash(prefix, s1, s2 + LENGTH) + e["off"].astype(np.uint64))
-                held.append(e)
-                n += len(e)
+                e["g"], e["rid"], e["s"], e["n"], e["off"] = g & ANCHOR, rid[d], s1 - starts[d], s2 - s1, a - s1
+                e["c"] = grams.mixed(grams.span_hash(prefix, s1, s2 + LENGTH) + e["off"].astype(np.uint64)) & CONTENT
+                held.append((e, s1 + size))
+                pieces.append(data)
+                n, size = n + len(e), size + len(data)
                 if n > _FLUSH:
                     yield out()
-                    held, n = [], 0
+                    held, pieces, n, size = [], [], 0, 0
         if held:
             yield out()
 
@@ -149,18 +173,15 @@ def _anchors(texts: DataFrame, parts: int) -> DataFrame:
                 (held if kind == ENTRIES else asked if kind == MANY else marks).append(np.frombuffer(data, MARK if kind == MARKS else ENTRY))
         rows = []
         if held:
-            e = _sort_entries(np.concatenate(held))
+            e = np.concatenate(held)
+            e = e[_sort_entries(e)]
             # A sender's note that an anchor is very common says nothing about its own content.
             noted = np.unique(e["g"][e["big"] == 1])
             e = e[e["big"] == 0]
-            first = _starts(e["g"], e["c"])
-            again, e = e[~first], e[first]
-            if len(again):
-                marks.append(_marks(again["rid"], again["s"], again["s"] + again["n"]))
             if len(e):
                 group = np.cumsum(_starts(e["g"])) - 1
                 n = np.bincount(group)[group]
-                many = (n > CONTENTS) | np.isin(e["g"], noted)
+                many = (n > ROWS) | np.isin(e["g"], noted)
                 few = e[~many & (n > 1)]
                 ask = np.zeros(len(few), ASKED)
                 for c in ASKED.names:
@@ -181,70 +202,48 @@ def _anchors(texts: DataFrame, parts: int) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(trimmed(deal), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), "rid bigint, kind int, data binary")
 
 
-def equal_windows(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``sent`` runs that stand in an earlier one of the same anchor: (row, first start, last start).
+def whole_runs(sent: np.ndarray) -> np.ndarray:
+    """Which rows (sorted by g, rid, s) are equal as a whole to an earlier one of their anchor: told by a hash, verified on the bytes."""
+    key = sent["text"].copy().view("<u8").reshape(len(sent), -1)
+    h = grams.mixed(sent["n"].astype(np.uint64) * np.uint64(256) + sent["off"])
+    for i in range(key.shape[1]):
+        h = grams.mixed(h ^ key[:, i]) & CONTENT
+    order = np.lexsort((np.arange(len(sent)), h, sent["g"]))
+    lead = _starts(sent["g"][order], h[order])
+    first = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+    same = np.zeros(len(sent), bool)
+    x, y = order[~lead], first[~lead]
+    same[x] = (sent["n"][x] == sent["n"][y]) & (sent["off"][x] == sent["off"][y]) & (sent["text"][x] == sent["text"][y]).all(1)
+    return same
+
+
+def equal_windows(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``sent`` runs that stand in an earlier one of the same anchor: (row, start).
 
     ``sent`` is sorted by (g, rid, s), so a smaller index is earlier.
     """
     k = len(sent)
     # Aligned: the anchor of every row is at the same column.
     matrix = np.zeros((k, SEGMENT + LEFT), np.uint8)
-    cols = np.arange(SEGMENT)[None, :] + (LEFT - sent["off"].astype(np.int64))[:, None]
-    np.put_along_axis(matrix, cols, sent["text"], 1)
+    off, n = sent["off"].astype(np.int64), sent["n"].astype(np.int64)
+    np.put_along_axis(matrix, np.arange(SEGMENT)[None, :] + (LEFT - off)[:, None], sent["text"], 1)
     width = matrix.shape[1]
     text = Text(matrix.reshape(-1))
-    anchor = np.arange(k) * width + LEFT
-    off, n = sent["off"].astype(np.int64), sent["n"].astype(np.int64)
-    right = n - off + LENGTH  # bytes of the run from the anchor on
-    begins = np.flatnonzero(_starts(sent["g"]))
-    sizes = np.diff(np.concatenate([begins, [k]]))
-    rows, lows, highs = [], [], []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRS)]).tolist():
-        at = begins[sizes == size]
-        i, j = np.triu_indices(size, 1)
-        y, x = (at[:, None] + i).reshape(-1), (at[:, None] + j).reshape(-1)
-        fore = text.common(anchor[x], anchor[y], np.minimum(right[x], right[y]))
-        back = text.common_back(anchor[x], anchor[y], np.minimum(off[x], off[y]))
-        # Windows that begin o before the anchor agree when o bytes before it and 100 - o from it on do.
-        low = np.maximum.reduce([LENGTH - fore, off[x] - n[x], off[y] - n[y]])
-        good = low <= back
-        x, y, low, high, fore = x[good], y[good], low[good], back[good], fore[good]
-        col = np.arange(width)[None, :]
-        differ = (matrix[x] != matrix[y]) & (col >= LEFT - high[:, None]) & (col < LEFT + fore[:, None])
-        true = ~differ.any(1)
-        rows.append(x[true])
-        lows.append(off[x[true]] - high[true])
-        highs.append(off[x[true]] - low[true])
-    big = np.flatnonzero(np.repeat(sizes > PAIRS, sizes))
-    if len(big):
-        row = np.repeat(big, n[big] + 1)
-        first = np.cumsum(n[big] + 1) - (n[big] + 1)
-        shift = np.arange(len(row)) - np.repeat(first, n[big] + 1)  # window of the run
-        back = off[row] - shift  # the anchor's place in the window, from -100 to LEFT
-        group = np.repeat(np.arange(len(sizes)), sizes)[row] * (4 * LENGTH) + back + 2 * LENGTH
-        order = np.argsort(group, kind="stable")
-        row, shift, back, group = row[order], shift[order], back[order], group[order]
-        at = anchor[row] - back
-        order = text.sort(at, group, LENGTH)
-        row, shift, group, at = row[order], shift[order], group[order], at[order]
-        same = np.zeros(len(at), bool)
-        same[1:] = (group[1:] == group[:-1]) & (text.common(at[1:], at[:-1], np.full(len(at) - 1, LENGTH)) == LENGTH)
-        here = np.flatnonzero(same)
-        for s in range(0, len(here), 100_000):  # verified on the bytes
-            h = here[s : s + 100_000]
-            look = np.arange(LENGTH)[None, :]
-            same[h] = (text.data[at[h][:, None] + look] == text.data[at[h - 1][:, None] + look]).all(1)
-        cls = np.cumsum(~same) - 1
-        lead = np.full(cls[-1] + 1 if len(cls) else 0, k, np.int64)
-        np.minimum.at(lead, cls, row)
-        again = row > lead[cls]
-        rows.append(row[again])
-        lows.append(shift[again])
-        highs.append(shift[again])
-    if not rows:
-        return (np.zeros(0, np.int64),) * 3
-    row, low, high = np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
-    return row, sent["s"][row] + low, sent["s"][row] + high
+    row = np.repeat(np.arange(k), n + 1)
+    shift = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)  # window of the run
+    back = off[row] - shift  # the anchor's place in the window, from -100 to LEFT
+    group = (np.cumsum(_starts(sent["g"])) - 1)[row] * (4 * LENGTH) + back + 2 * LENGTH
+    order = np.argsort(group, kind="stable")
+    row, shift, back, group = row[order], shift[order], back[order], group[order]
+    at = row * width + LEFT - back
+    order = text.sort(at, group, LENGTH)
+    order, same = text.verified(at, group, LENGTH, order)
+    row, shift = row[order], shift[order]
+    cls = np.cumsum(~same) - 1
+    lead = np.full(cls[-1] + 1 if len(cls) else 0, k, np.int64)
+    np.minimum.at(lead, cls, row)
+    again = row > lead[cls]
+    return row[again], sent["s"][row[again]] + shift[again]
 
 
 def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
@@ -257,20 +256,21 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
         few, many, n = [], [], 0
 
         def out():
-            rows = []
+            rows, marks = [], []
             if few:
                 f = np.concatenate(few)
+                f = f[np.lexsort((f["s"], f["rid"], f["g"]))]
+                whole = whole_runs(f)
+                marks.append(_marks(f["rid"][whole], f["s"][whole], f["s"][whole] + f["n"][whole]))
+                f = f[~whole]
                 rows += _deal(FEW, f, f["g"], parts)
             if many:
                 w = np.concatenate(many)
-                w = w[np.lexsort((w["s"], w["rid"], w["w"]))]
-                first = _starts(w["w"])
-                again = w[~first]
-                if len(again):
-                    m = _marks(again["rid"], again["s"], again["s"])
-                    rows += _deal(MARKS, m, m["rid"].view(np.uint64) << np.uint64(20), parts)
-                rows += _deal(MANY, w[first], w["w"][first], parts)
-            return _batch(rows)
+                again, first = same_windows(w)
+                marks.append(_marks(again["rid"], again["s"], again["s"]))
+                rows += _deal(MANY, first, first["w"], parts)
+            m = np.concatenate(marks)
+            return _batch(rows + (_deal(MARKS, m, m["rid"].view(np.uint64) << np.uint64(20), parts) if len(m) else []))
 
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(2)))
@@ -287,15 +287,16 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
                     look = np.minimum(a["s"][:, None] + np.arange(SEGMENT)[None, :], len(data) - 1)
                     f["text"] = np.where(np.arange(SEGMENT)[None, :] < size[:, None], data[look], 0)
                     few.append(f)
-                    n += 8 * len(f)
+                    n += 4 * len(f)
                 if got[MANY]:
                     a = np.concatenate(got[MANY])
                     count = a["n"].astype(np.int64) + 1
                     s = np.repeat(a["s"].astype(np.int64) - np.cumsum(count) + count, count) + np.arange(count.sum())
                     w = np.zeros(len(s), WINDOW)
-                    w["w"], w["rid"], w["s"] = grams.span_hash(grams.prefix_hash(data), s, s + LENGTH), rid, s
+                    w["w"], w["rid"], w["s"] = grams.span_hash(grams.prefix_hash(data), s, s + LENGTH) & CONTENT, rid, s
+                    w["text"] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[s]
                     many.append(w)
-                    n += len(w)
+                    n += 3 * len(w)
                 if n > _FLUSH:
                     yield out()
                     few, many, n = [], [], 0
@@ -313,21 +314,22 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
                 else:
                     many.append(np.frombuffer(data, WINDOW))
         if many:
-            w = np.concatenate(many)
-            w = w[np.lexsort((w["s"], w["rid"], w["w"]))]
-            w = w[~_starts(w["w"])]
-            marks.append(_marks(w["rid"], w["s"], w["s"]))
+            again, _ = same_windows(np.concatenate(many))
+            marks.append(_marks(again["rid"], again["s"], again["s"]))
         if few:
             f = np.concatenate(few)
             f = f[np.lexsort((f["s"], f["rid"], f["g"]))]
-            begins = np.flatnonzero(_starts(f["g"]))
+            whole = whole_runs(f)
+            marks.append(_marks(f["rid"][whole], f["s"][whole], f["s"][whole] + f["n"][whole]))
+            f = f[~whole]
+            begins = np.flatnonzero(_starts(f["g"])) if len(f) else np.zeros(0, np.int64)
             # A multiple behind the last group's start has only the end after it.
             ends = np.append(begins, len(f))
-            cut = np.unique(np.append(ends[np.searchsorted(ends, np.arange(0, len(f), 10_000))], len(f)))
+            cut = np.unique(np.append(ends[np.searchsorted(ends, np.arange(0, len(f), SLICED))], len(f)))
             for a, e in zip(np.concatenate([[0], cut[:-1]]).astype(np.int64), cut, strict=True):
                 if e > a:
-                    row, s, t = equal_windows(f[a:e])
-                    marks.append(_marks(f["rid"][a:e][row], s, t))
+                    row, at = equal_windows(f[a:e])
+                    marks.append(_marks(f["rid"][a:e][row], at, at))
         m = np.concatenate(marks) if marks else np.zeros(0, MARK)
         m = _marks(m["rid"], m["s"], m["e"]) if len(m) else m
         yield _batch(_by_text(MARKS, m["rid"], m), ("rid", "kind", "data"), pa.int64())
@@ -335,6 +337,16 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
     return both.mapInArrow(trimmed(fetch), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), "rid bigint, kind int, data binary")
 
 
+def same_windows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows whose bytes stand in an earlier one, and the first of each; told by their hash, verified on the bytes."""
+    words = w["text"].copy().view("<u4").reshape(len(w), -1)
+    # Sorted by the bytes themselves within a hash, so those that collide are told apart.
+    order = np.lexsort((w["s"], w["rid"], *words.T, w["w"]))
+    w = w[order]
+    first = _starts(w["w"], *words[order].T)
+    return w[~first], w[first]
+
+
 def kept(text: bytes, marks: list[bytes]) -> tuple[np.ndarray, int]:
     """Which bytes stay, and the number of maximal removed runs."""
     cover = np.zeros(len(text) + 1, np.int32)
@@ -351,9 +363,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
     odd = rows.groupBy("_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("_id").isNull())
     if odd.isEmpty():
         return rows.withColumn("rid", F.col("_id"))
-    rows = rows.withColumn("_text", F.xxhash64("text"))
-    ids = rows.select(F.col("_id").alias("_key"), F.col("_text").alias("_hash")).distinct().orderBy(F.col("_key").asc_nulls_first(), "_hash")
-    ids = stored(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_key bigint, _hash bigint, rid bigint"), "ids")
+    rows = rows.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    ids = rows.select(F.col("_id").alias("_key"), F.col("_text").alias("_hash")).distinct()
+    # Sorted by ranges, so numbers that grow with the partition and in it keep the order.
+    ids = stored(ids.orderBy(F.col("_key").asc_nulls_first(), "_hash").withColumn("rid", F.monotonically_increasing_id()), "ids")
     return rows.join(ids, rows["_id"].eqNullSafe(ids["_key"]) & (rows["_text"] == ids["_hash"])).drop("_key", "_hash", "_text")
 
 
@@ -363,7 +376,6 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     own = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("_row")
     rows = _numbered(docs.select(own, F.col(key).cast("bigint").alias("_id"), F.col(text).alias("text"))).select("rid", "text", "_row")
     found = stored(_anchors(rows, parts), "anchors")
-    release(docs.sparkSession)
     marks = found.where(F.col("kind") == MARKS).union(_windows(rows, found.where(F.col("kind") != MARKS), parts))
     lists = marks.groupBy("rid").agg(F.collect_list("data").alias("_marks"))
     both = rows.join(lists, "rid", "left").select("_row", "text", "_marks")

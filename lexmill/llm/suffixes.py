@@ -27,16 +27,6 @@ class Text:
             high = np.where(same, high, mid - 1)
         return low
 
-    def common_back(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Length of the longest common end of what lies before x and before y."""
-        low, high = np.zeros(len(x), np.int64), np.asarray(limit, np.int64).copy()
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = self.hash(x - mid, mid) == self.hash(y - mid, mid)
-            low = np.where(same, mid, low)
-            high = np.where(same, high, mid - 1)
-        return low
-
     def less(self, x: np.ndarray, y: np.ndarray, depth: int, or_equal: np.ndarray) -> np.ndarray:
         """Is the suffix at x before that at y, by their first ``depth`` bytes? Logarithmic in depth."""
         n = self.common(x, y, np.full(len(x), depth, np.int64))
@@ -75,3 +65,35 @@ class Text:
             order = new
             width *= 2
         return order
+
+    def verified(self, at: np.ndarray, group: np.ndarray, depth: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order, checked on the bytes, and which suffixes have the same first ``depth`` bytes as the one before them in their group.
+
+        Groups where a collision of hashes has left a suffix out of its place are sorted anew by their bytes.
+        """
+        look = np.arange(depth)
+        same, bad = np.zeros(len(at), bool), np.zeros(len(at), bool)
+
+        def check(rows: np.ndarray) -> None:
+            for s in range(0, len(rows), 20_000):
+                r = rows[s : s + 20_000]
+                x, y = (self.data[at[order[z]][:, None] + look] for z in (r - 1, r))
+                differ = x != y
+                place = differ.argmax(1)
+                some = differ.any(1)
+                same[r] = ~some
+                i = np.arange(len(r))
+                bad[r] = some & (x[i, place] > y[i, place])
+
+        inner = np.flatnonzero(group[1:] == group[:-1]) + 1
+        check(inner)
+        if bad.any():
+            wrong = np.isin(group, group[bad])
+            own = np.flatnonzero(wrong)
+            rows = self.data[at[own][:, None] + look]
+            new = np.lexsort((own, *rows.T[::-1], group[own]))
+            order = order.copy()
+            order[own] = own[new]
+            bad[:] = False
+            check(inner[wrong[inner]])
+        return order, same
