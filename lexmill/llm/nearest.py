@@ -1,13 +1,16 @@
 """Exact top-k search by inner product with KD-trees per shard.
 
-The table is cut into shards of bounded size. A shard becomes a KD-tree: median splits along the widest side, each node
-with the tight box of its vectors. A query walks each tree best-first by the largest inner product that a node's box
-allows, and stops when that is below its k-th score so far; that k-th score goes on from shard to shard.
-Queries are taken in blocks of bounded size, each sent to all shards.
+The table's rows are dealt into groups of bounded size; a task holds one group as shards, and a shard is a KD-tree: median
+splits along the widest side, each node with the tight box of its vectors. Queries are rows too: dealt to the groups in
+the same shuffle, they come after a group's vectors and stream past its trees, which are built once. A query walks each
+tree best-first by the largest inner product that a node's box allows, and stops when that is below its k-th score so
+far; that score goes on from shard to shard. Before it goes to all groups, a query is searched in one, and the k-th score
+found there bounds it everywhere (:func:`search`).
 
 Defined cases: vectors that are null or hold null or non-finite components, or have another length than a query, take no
 part; a null id takes no part; ties go to the smaller id; rows that repeat an id are candidates of their own, but a query
-never meets a row of its own id; an empty table gives no rows; other columns are ignored.
+never meets a row of its own id, and of rows of ``queries`` that repeat an id only the least vector is asked; components and scores
+beyond 64 bits count as the nearest 64-bit integer; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import stored
+from lexmill.llm.common import stored, trimmed
 
-#: Rows in a shard, vectors in a leaf, queries in a block.
-SHARD, LEAF, BLOCK = 16_384, 512, 4_096
+#: Rows in a shard, vectors in a leaf, most rows in a group, fewest in a group of a small table.
+SHARD, LEAF, GROUP, SMALL = 16_384, 512, 131_072, 2_048
 #: Doubles hold integers up to here exactly.
 _EXACT = float(1 << 53)
 
@@ -56,26 +59,29 @@ class Tree:
         self.peak = float(np.abs(self.vectors).max()) if len(ids) else 0.0
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The largest inner product that each node's box allows each query."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-
-    def search(self, query: np.ndarray, own: int, bound: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
-        """Takes and returns the best (score, -id) so far, ascending."""
+        """The largest inner product that each node's box allows each query, with what doubles may be off where they aren't exact."""
+        bound = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        wide = np.abs(queries).sum(1) * self.peak >= _EXACT
+        bound[wide] += np.abs(queries[wide]).sum(1)[:, None] * self.peak * 1e-12
+        return bound
+
+    def search(self, query: np.ndarray, own: int, bound: np.ndarray, best: list[tuple[int, int]], k: int, least: int = -(1 << 63)) -> list[tuple[int, int]]:
+        """Takes and returns the best (score, -id) so far, ascending; scores below ``least`` are of no interest."""
         exact = np.abs(query).sum() * self.peak < _EXACT
         heap = [(-bound[0], 0)]
         while heap:
             b, node = heapq.heappop(heap)
-            if len(best) == k and -b < best[0][0]:
+            low = max(least, best[0][0]) if len(best) == k else least
+            if -b < low:
                 break
             if self.kids[node]:
                 for kid in self.kids[node]:
-                    if len(best) < k or bound[kid] >= best[0][0]:
+                    if bound[kid] >= low:
                         heapq.heappush(heap, (-bound[kid], kid))
                 continue
             s, e = self.span[node]
-            scores = self.vectors[s:e] @ query if exact else np.array([sum(int(x) * int(y) for x, y in zip(v, query, strict=True)) for v in self.vectors[s:e]], object)
-            near = np.flatnonzero(scores >= best[0][0]) if len(best) == k else np.arange(e - s)
-            near = near[self.ids[s:e][near] != own]
+            scores = self.vectors[s:e] @ query if exact else np.array([_long(sum(int(x) * int(y) for x, y in zip(v, query, strict=True))) for v in self.vectors[s:e]], object)
+            near = np.flatnonzero((scores >= low) & (self.ids[s:e] != own))
             if len(near) > 4 * k and exact:
                 cut = np.partition(scores[near], len(near) - k)[len(near) - k]
                 near = near[scores[near] >= cut]
@@ -83,6 +89,10 @@ class Tree:
         return best
 
 
+def _long(x: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, x))
+
+
 def vectors_of(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key and ``_v``: floor(256 * x) of each component as double; only vectors that take part."""
     v = F.col(vector)
@@ -90,26 +100,23 @@ def vectors_of(table: DataFrame, key: str = "vec_id", vector: str = "embedding")
     return table.where(good).select(key, F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("_v"))
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``table`` for each row of ``queries`` (both with key and vector)."""
-    rows, asked = vectors_of(table, key, vector), vectors_of(queries, key, vector)
-    sc = table.sparkSession.sparkContext
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    if blocks > 1:
-        asked = stored(asked.withColumn("_block", F.pmod(F.xxhash64(key, "_v"), F.lit(blocks)).cast("int")).repartitionByRange(blocks, "_block"), "queries")
-    made = None
-    for b in range(blocks):
-        got = (asked.where(F.col("_block") == b) if blocks > 1 else asked).collect()
-        if not got:
-            continue
-        shared = sc.broadcast((np.array([r[key] for r in got], np.int64), [np.array(r["_v"]) for r in got]))
-        part = _best(rows.mapInArrow(_scan(shared, k), "query_id bigint, vec_id bigint, score bigint"), k)
-        part = stored(part, "nearest") if blocks > 1 else part
-        made = part if made is None else made.unionByName(part)
-    if made is None:
-        made = rows.where("false").select(F.col(key).cast("bigint").alias("query_id"), F.lit(1).alias("rank"), F.col(key).cast("bigint").alias("vec_id"), F.lit(0).cast("bigint").alias("score"))
-    return made
+    rows, asked = vectors_of(table, key, vector), vectors_of(queries, key, vector).groupBy(key).agg(F.min("_v").alias("_v"))
+    n, tasks = rows.count(), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-n // GROUP), min(tasks, -(-n // SMALL)))
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(groups)).cast("int")
+    # Equal rows are dealt apart by their places in the table.
+    dealt = rows.select(place(key, F.monotonically_increasing_id()).alias("group"), F.lit(0).alias("kind"), F.col(key).cast("bigint").alias("id"), "_v", F.lit(None).cast("bigint").alias("least"))
+    asked = asked.select(F.col(key).cast("bigint").alias("id"), "_v")
+    first = asked.select(place("id").alias("group"), F.lit(1).alias("kind"), "id", "_v", F.lit(None).cast("bigint").alias("least"))
+    found = stored(_met(dealt.unionByName(first), k), "first")
+    if groups == 1:
+        return _best(found, k)
+    least = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g != place("id")))
+    rest = asked.join(least, "id", "left").select(other.alias("group"), F.lit(1).alias("kind"), "id", "_v", "least")
+    return _best(found.unionByName(_met(dealt.unionByName(rest), k)), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -119,44 +126,54 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return top.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), (-F.col("b.less")).alias("vec_id"), "b.score")
 
 
-def _scan(shared, k: int):
+def _met(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of its group for each row of kind 1, none below its ``least``. rows: group, kind (0: vectors), id, _v, least."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        lengths = np.array([len(v) for v in vectors])
-
-        def shard(keys: np.ndarray, flat: np.ndarray, width: int):
-            asked = np.flatnonzero(lengths == width)
-            if not width or not len(asked):
-                for i in asked:  # empty vectors: every score is 0
-                    best[i] = sorted([*best[i], *((0, -int(x)) for x in keys if x != ids[i])])[-k:]
-                return
-            tree = Tree(keys, flat.reshape(-1, width))
-            for at in range(0, len(asked), 256):
-                part = asked[at : at + 256]
-                bounds = tree.bounds(np.stack([vectors[i] for i in part]))
-                for j, i in enumerate(part):
-                    best[i] = tree.search(vectors[i], int(ids[i]), bounds[j], best[i], k)
-
-        held: dict[int, list] = {}
+        group, trees, held = None, {}, {}
+
+        def plant(width: int) -> None:
+            keys, flat = (np.concatenate(x) for x in zip(*held.pop(width), strict=True))
+            trees.setdefault(width, []).append(Tree(keys, flat.reshape(-1, width)) if width else keys)
+
+        def ask(keys: np.ndarray, vectors: np.ndarray, least: list, width: int):
+            best: list[list[tuple[int, int]]] = [[] for _ in keys]
+            for tree in trees.get(width, ()):
+                if not width:  # empty vectors: every score is 0
+                    best = [sorted([*b, *((0, -int(x)) for x in tree if x != i and (low is None or low <= 0))])[-k:] for i, b, low in zip(keys, best, least, strict=True)]
+                    continue
+                for at in range(0, len(keys), 256):
+                    bounds = tree.bounds(vectors[at : at + 256])
+                    for j in range(at, min(at + 256, len(keys))):
+                        best[j] = tree.search(vectors[j], int(keys[j]), bounds[j - at], best[j], k, -(1 << 63) if least[j] is None else least[j])
+            return [(int(q), -less, score) for q, b in zip(keys, best, strict=True) for score, less in b]
+
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            begins = np.concatenate([[0], np.cumsum(sizes)])
-            for width in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == width)
-                values = flat[(begins[own][:, None] + np.arange(width)).reshape(-1)]
-                rest = held.setdefault(width, [])
-                rest.append((keys[own], values))
-                if sum(len(x) for x, _ in rest) >= SHARD:
-                    shard(np.concatenate([x for x, _ in rest]), np.concatenate([y for _, y in rest]), width)
-                    held[width] = []
-        for width, rest in held.items():
-            if rest:
-                shard(np.concatenate([x for x, _ in rest]), np.concatenate([y for _, y in rest]), width)
-        out = [(int(q), -less, score) for q, b in zip(ids, best, strict=True) for score, less in b]
-        cols = zip(*out, strict=True) if out else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    return run
+            places, kinds = (batch.column(i).to_numpy() for i in (0, 1))
+            cuts = np.flatnonzero((places[1:] != places[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):
+                if e == a:
+                    continue
+                if places[a] != group:
+                    group, trees, held = places[a], {}, {}
+                part = batch.slice(a, e - a)
+                keys, lists, least = part.column(2).to_numpy(), part.column(3), part.column(4).to_pylist()
+                offsets = lists.offsets.to_numpy()
+                sizes, begins = np.diff(offsets), offsets[:-1] - offsets[0]
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                for width in np.unique(sizes).tolist():
+                    own = np.flatnonzero(sizes == width)
+                    values = flat[(begins[own][:, None] + np.arange(width)).reshape(-1)]
+                    if kinds[a] == 0:
+                        held.setdefault(width, []).append((keys[own], values))
+                        if sum(len(x) for x, _ in held[width]) >= SHARD:
+                            plant(width)
+                        continue
+                    if width in held:
+                        plant(width)
+                    out = ask(keys[own], values.reshape(-1, width) if width else values, [least[i] for i in own], width)
+                    cols = zip(*out, strict=True) if out else ([], [], [])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+    met = rows.repartition("group").sortWithinPartitions("group", "kind")
+    return met.mapInArrow(trimmed(run), "query_id bigint, vec_id bigint, score bigint")
