@@ -6,15 +6,17 @@ Each document may be taken twice: every pass over a source shuffles its document
 finish time is its source's cumulative words, itself included, divided by the source's target; items sorted by finish
 time over all sources and cut at the total budget make the mix.
 
-Prefix sums over a source of any size need no task of its own: items fall into buckets by their place in the shuffle, the
-buckets' sums (aggregated before the shuffle) give offsets, and only a bucket is summed row by row. The same way the
-global order is cut: a histogram of finish times finds the bin where the budget ends, and only that bin is sorted.
+Prefix sums over a source of any size need no task of its own: items fall into buckets by their place in the shuffle,
+buckets into shelves. Shelves' sums (aggregated before the shuffle) give the offsets of shelves, buckets' sums those inside a
+shelf, and only a bucket is summed row by row; a source of n documents is ordered in about the cube root of n rows at a
+time. The same way the global order is cut: a histogram of finish times finds the bin where the budget ends, and only that
+bin is sorted.
 
 Native: DataFrame functions only.
 
 Defined cases: a null text has size 0; documents of size 0 are taken 0 times; a source of size 0 has target 0; repeated
-rows are documents of their own; ties in the shuffle go by doc_id, then by text; a null doc_id is a value like others;
-an empty table gives no rows; other columns are ignored.
+rows are documents of their own; ties in the shuffle go by doc_id, then by text; a null doc_id is a value like others; where
+all sizes are 0 nothing is taken; extra columns of any type may stand beside (maps count by their entries' order); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,9 +56,14 @@ def targets(sized: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "documents", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; a column with a map in it, which Spark doesn't hash, counts as its JSON text."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes])
+
+
 def schedule(docs: DataFrame, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Each item (a document in a pass) with its finish time: doc_id, source, size, row (a hash of the whole row), _copy, _pass, source_size, target, finish."""
-    row = F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row")
+    row = row_hash(docs).alias("row")
     sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), row)
     sized = stored(sized, "sizes")  # words are counted once, several passes follow
     goal = stored(targets(sized), "targets")
@@ -67,10 +74,18 @@ def schedule(docs: DataFrame, seed: int = 17, key: str = "doc_id", text: str = "
     items = items.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
     items = items.withColumn("_at", F.xxhash64(F.lit(seed), "_pass", "doc_id", "row", "_copy").cast("double") / 2.0**64 + 0.5)
     items = items.withColumn("_bucket", F.floor(F.col("_at") * F.ceil(F.col("documents") / BUCKET)))
-    queue = ["source", "_pass", "_bucket"]
-    over = Window.partitionBy("source").orderBy("_pass", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = items.groupBy(*queue).agg(F.sum("size").alias("_sum")).withColumn("_offset", F.coalesce(F.sum("_sum").over(over), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*queue).orderBy("_at", "doc_id", "row", "_copy").rowsBetween(Window.unboundedPreceding, 0)
+    # A shelf holds the square of the buckets' cube root, so shelves, buckets of a shelf and documents of a bucket stay few alike.
+    items = items.withColumn("_shelf", F.floor(F.col("_bucket") / F.ceil(F.sqrt(F.ceil(F.col("documents") / BUCKET)))))
+    queue = ["source", "_pass", "_shelf", "_bucket"]
+    sums = stored(items.groupBy(*queue).agg(F.sum("size").alias("_sum")), "bucket_sums")
+    before = (Window.unboundedPreceding, -1)
+    shelves = sums.groupBy("source", "_pass", "_shelf").agg(F.sum("_sum").alias("_sum"))
+    shelves = shelves.withColumn("_shelves", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_pass", "_shelf").rowsBetween(*before)), F.lit(0))).drop("_sum")
+    offsets = sums.withColumn("_buckets", F.coalesce(F.sum("_sum").over(Window.partitionBy("source", "_pass", "_shelf").orderBy("_bucket").rowsBetween(*before)), F.lit(0))).drop("_sum")
+    x, y = offsets.alias("x"), shelves.alias("y")
+    meet = F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x._pass") == F.col("y._pass")) & (F.col("x._shelf") == F.col("y._shelf"))
+    offsets = x.join(y, meet).select("x.source", "x._pass", "x._bucket", (F.col("x._buckets") + F.col("y._shelves")).alias("_offset"))
+    inside = Window.partitionBy("source", "_pass", "_bucket").orderBy("_at", "doc_id", "row", "_copy").rowsBetween(Window.unboundedPreceding, 0)
     a, b = items.withColumn("_inside", F.sum("size").over(inside)).alias("a"), offsets.alias("b")
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._pass") == F.col("b._pass")) & (F.col("a._bucket") == F.col("b._bucket"))
     summed = a.join(b, same).select("a.*", (F.col("b._offset") + F.col("a._inside")).alias("_sum"))
@@ -83,6 +98,9 @@ def schedule(docs: DataFrame, seed: int = 17, key: str = "doc_id", text: str = "
 def cut(timed: DataFrame) -> DataFrame:
     """The items in global order of finish time as far as the total budget goes: adds ``kept``."""
     tie = ["finish", "source", "_pass", "doc_id", "row", "_copy"]
+    # What has no size is never taken, so it needs no place in the order.
+    empty = timed.where("size = 0").withColumn("kept", F.lit(False))
+    timed = timed.where("size > 0")
     of = timed.groupBy("source").agg(F.max("target").alias("target"), F.count("*").alias("n")).agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("budget"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     budget, n = of.first()
     # As many bins as the root of the items: few bins to sum up, few items in the one that is sorted.
@@ -94,7 +112,7 @@ def cut(timed: DataFrame) -> DataFrame:
     at, had = (edge["_bin"], edge["before"]) if edge else (0, 0)
     run = F.sum("size").over(Window.orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)) + had - F.col("size") / 2 <= budget
     whole = binned.where(F.col("_bin") != at).withColumn("kept", F.col("_bin") < at)
-    return whole.unionByName(binned.where(F.col("_bin") == at).withColumn("kept", run)).drop("_bin")
+    return whole.unionByName(binned.where(F.col("_bin") == at).withColumn("kept", run)).drop("_bin").unionByName(empty)
 
 
 def mix(docs: DataFrame, seed: int = 17, **names: str) -> DataFrame:
@@ -110,7 +128,7 @@ def mixture(docs: DataFrame, seed: int = 17, **names: str) -> DataFrame:
     times = done.groupBy(F.col("row").alias("_mix_row")).agg(F.collect_list(F.struct("_copy", "finish")).alias("_mix_times"))
     columns = docs.columns
     # A row may be there more than once; copy i takes the times of number i. Equal rows are few, as their hash takes in every column.
-    numbered = docs.withColumn("_mix_row", F.xxhash64(*[F.col(c) for c in columns]))
+    numbered = docs.withColumn("_mix_row", row_hash(docs))
     numbered = numbered.withColumn("_mix_copy", F.row_number().over(Window.partitionBy("_mix_row").orderBy(F.lit(0))))
     each = numbered.join(times, "_mix_row").withColumn("_mix_item", F.explode(F.filter("_mix_times", lambda t: t["_copy"] == F.col("_mix_copy"))))
     each = each.withColumn("_mix_finish", F.col("_mix_item.finish"))
