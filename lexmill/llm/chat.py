@@ -5,7 +5,9 @@ A conversation's turns are taken in order of (turn, role, text). A turn is rende
 undoes. Prefix sums of the turns' tokens choose spans of whole turns that fit the budget: each window begins with the
 leading system turn, then repeats at most ``history`` turns of the window before, as far as the budget allows, then goes
 on with new turns. Text under the loss mask is the text of assistant turns, each once: where a turn is repeated as
-history it is masked. A turn that exceeds the budget alone gets a window of its own and stays whole.
+history it is masked. A turn that exceeds the budget alone gets a window of its own and stays whole. A system turn that
+takes more than half of the budget is in the first window only, alone if need be; beside a smaller one a turn may exceed
+the budget by that half at most.
 
 Conversations are streamed: rows are dealt by conversation and sorted, and a window is given out as soon as it is full,
 so memory holds one window and never a whole conversation.
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import _arrow_schema, trimmed
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns' sizes are counted in these: runs of word characters, and single other signs.
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -64,13 +68,14 @@ class Windows:
         self.turns: list[tuple[str, str, bool]] = []  # role, text, new
         self.sums = [0]  # prefix sums of the turns' tokens
         self.n = 0
+        self.head = 0  # tokens of the system turn
         self.first_out = False
 
     def add(self, role: str, text: str) -> Iterator[tuple[str, list[int], list[int]]]:
         size = tokens(render(role, text))
         if self.n == 0 and role == "system":
-            self.system = (role, text)
-        elif self.sums[-1] and self._head() + self.sums[-1] + size > self.budget and any(t[2] for t in self.turns):
+            self.system, self.head = (role, text), size
+        elif self._waiting() and self._head() + self.sums[-1] + size > self.budget:
             yield self._out()
             self._repeat(size)
         self.n += 1
@@ -79,8 +84,16 @@ class Windows:
         self.turns.append((role, text, True))
         self.sums.append(self.sums[-1] + size)
 
+    def _large(self) -> bool:
+        return 2 * self.head > self.budget
+
+    def _waiting(self) -> bool:
+        """Is there a turn that no window holds yet, or a large system turn that may go alone?"""
+        return any(t[2] for t in self.turns) or self._large() and not self.first_out and not self.turns
+
     def _head(self) -> int:
-        return tokens(render(*self.system)) if self.system else 0
+        """Tokens of the system turn in the window that is being filled."""
+        return 0 if self.first_out and self._large() else self.head
 
     def _repeat(self, size: int) -> None:
         """The longest run of last turns that is within the history and leaves room for the next turn."""
@@ -96,7 +109,7 @@ class Windows:
 
     def _out(self):
         text, loss, new = "", [], []
-        for role, t, fresh in ([(*self.system, not self.first_out)] if self.system else []) + self.turns:
+        for role, t, fresh in ([(*self.system, not self.first_out)] if self.system and not (self.first_out and self._large()) else []) + self.turns:
             at = len(text)
             text += render(role, t)
             if fresh:
@@ -153,10 +166,8 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 2) -> D
         if out:
             yield flush()
 
-    from lexmill.llm.common import _arrow_schema
-
     target = _arrow_schema(conversations.sparkSession, schema)
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(trimmed(run), schema)
 
 
 def read_back(formatted: str, spans: list[int]) -> list[tuple[str, str]]:
@@ -202,8 +213,6 @@ def digest(made: DataFrame) -> DataFrame:
             done()
         yield pa.RecordBatch.from_pylist([dict(zip(target.names, r, strict=True)) for r in out], schema=target)
 
-    from lexmill.llm.common import _arrow_schema
-
     target = _arrow_schema(made.sparkSession, schema)
     # The windows of a conversation leave windows() together and in order; nothing between deals them anew.
-    return made.mapInArrow(run, schema)
+    return made.mapInArrow(trimmed(run), schema)
