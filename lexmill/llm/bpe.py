@@ -144,33 +144,42 @@ def _decoder(rank_file: str) -> Decoder:
     return Decoder(rank_file)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
-    """key, n_tokens, ids (binary, little-endian unsigned 32-bit); with ``offsets`` also byte_starts and char_starts."""
+def _schema(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to ``keep``, n_tokens, ids (binary, little-endian unsigned 32-bit); with ``offsets`` also byte_starts and char_starts."""
+    own = [key, *(c for c in keep if c != key)]
 
     def run(cols, n):
         codec = _codec(rank_file, pattern)
         ids = codec.encode(cols[text])
-        out = {key: cols[key], "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+        out = {c: cols[c] for c in own} | {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
         if offsets:
             pairs = [codec.offsets(x) for x in ids]
             out |= {"byte_starts": [p[0] for p in pairs], "char_starts": [p[1] for p in pairs]}
         return out
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens bigint, ids binary" + ", byte_starts array<bigint>, char_starts array<bigint>" * offsets
+    schema = f"{_schema(docs, own)}, n_tokens bigint, ids binary" + ", byte_starts array<bigint>, char_starts array<bigint>" * offsets
     # The tokenizer goes with its partition: workers live on, and what follows needs their memory.
-    return map_arrow(docs.select(key, text), run, schema, text, after=_codec.cache_clear)
+    return map_arrow(docs.select(*dict.fromkeys([*own, text])), run, schema, text, after=_codec.cache_clear)
 
 
-def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id") -> DataFrame:
-    """Adds ``decoded`` (binary) to the columns key, n_tokens and ids of :func:`encode`; null ids decode to no bytes."""
+def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
+    """Adds ``decoded`` (binary) to the columns of :func:`encode`; null ids decode to no bytes."""
 
     def run(cols, n):
         codec = _decoder(rank_file)
         return cols | {"decoded": [codec.decode(x or b"") for x in cols["ids"]]}
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return map_arrow(encoded.select(key, "n_tokens", "ids"), run, f"`{key}` {kind}, n_tokens bigint, ids binary, decoded binary", "ids")
+    return map_arrow(encoded, run, f"{_schema(encoded, encoded.columns)}, decoded binary", "ids")
+
+
+def checked(decoded: DataFrame, text: str = "text") -> DataFrame:
+    """The rows as they are; the job fails where decoding hasn't given back the bytes of ``text`` (null: none)."""
+    same = F.col("decoded") == F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return decoded.withColumn("decoded", F.when(same, F.col("decoded")).otherwise(F.raise_error(F.lit("decoding a text's ids gave other bytes")).cast("binary")))
 
 
 def digest(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
