@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import map_arrow, stored
+from lexmill.llm.common import map_arrow, spread_join, stored
 
 #: A class is valid from so many tokens on, when its tokens are on at least this share of a host's pages; a text must be on so many pages.
 CLASS_TOKENS, SUPPORT, CLASS_PAGES = 2, 0.6, 5
@@ -444,11 +444,5 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(key, "url", "html", host_of().alias("_host"))
-    # Hosts of a thousandth of all pages are at most a thousand: all tasks get their templates, and only the others' pages are dealt by host.
-    total = made.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    large = F.broadcast(made.where(F.col("pages") * 1000 >= total).drop("pages"))
-    hits = rows.join(large, "_host", "left")
-    found = hits.where(F.col("_template").isNotNull()).select(key, "url", "html", "_template")
-    small = made.where(F.col("pages") * 1000 < total).drop("pages")
-    rest = rows.join(large, "_host", "left_anti").join(small, "_host", "left").select(key, "url", "html", "_template")
-    return map_arrow(found.unionByName(rest), run, f"`{key}` {kind}, url string, text string, n_chars bigint", "html")
+    joined = spread_join(rows, made, "_host", "pages", "left").select(key, "url", "html", "_template")
+    return map_arrow(joined, run, f"`{key}` {kind}, url string, text string, n_chars bigint", "html")
