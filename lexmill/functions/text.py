@@ -6,6 +6,7 @@ Everything here is built-in functions, so plans stay in the JVM and in whole-sta
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -224,11 +225,17 @@ def drop_toc(text) -> Column:
 
 
 def cut_references(text, least: float = 0.6) -> Column:
-    """Text before the first references heading that begins in the last part of it."""
-    rows = F.split(_col(text), "\n")
-    begins = F.transform(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.struct(i.alias("i"), F.aggregate(F.slice(rows, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1).alias("at")))
-    heading = F.filter(begins, lambda b: F.element_at(rows, b["i"] + 1).rlike(patterns.REFERENCES_HEADING) & (b["at"] >= least * F.length(_col(text))))
-    cut = F.when(_col(text).rlike("(?im)" + patterns.REFERENCES_HEADING.removeprefix("(?i)")), F.try_element_at(heading, F.lit(1))["i"])
+    """Text before the first references heading that begins in the last part of it. One running sum over the lines."""
+    rows, size = F.split(_col(text), "\n"), F.length(_col(text))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), none.alias("cut"))
+
+    def step(s, line):
+        hit = s["cut"].isNull() & (s["at"] >= least * size) & line.rlike(patterns.REFERENCES_HEADING)
+        return F.struct((s["i"] + 1).alias("i"), (s["at"] + F.length(line) + 1).alias("at"), F.when(hit, s["i"]).otherwise(s["cut"]).alias("cut"))
+
+    # Most texts have no such line, and need no sum.
+    cut = F.when(_col(text).rlike("(?im)" + patterns.REFERENCES_HEADING.removeprefix("(?i)")), F.aggregate(rows, start, step)["cut"])
     return F.when(cut.isNotNull(), F.array_join(F.slice(rows, 1, cut), "\n")).otherwise(_col(text))
 
 
@@ -239,31 +246,36 @@ HYPHEN_PREFIXES = tuple(
 
 
 def join_hyphens(text) -> Column:
-    """Words cut at a line's end: the hyphen stays after certain first parts, or where this text has the hyphenated form more often than the joined one.
+    """Words cut at a line's end are put together at the end of that line; what follows begins the next.
 
-    Which replacement is right depends on counts in the same text, so this is a loop over texts in Arrow batches.
+    The hyphen stays after certain first parts, or where this text has the hyphenated form more often than the joined one.
+    Which is right depends on counts in the same text, so this is a loop over texts in Arrow batches.
     """
-    cut = re.compile(r"\b([A-Za-z][A-Za-z-]*)-\n([a-z]+)")
+    cut, word = re.compile(r"\b([A-Za-z]+)-\n[ \t]*([a-z][A-Za-z]*)"), re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)*")
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(t):
             if t is None or "-\n" not in t:
                 return t
-            low = t.lower()
+            forms = Counter(word.findall(t.lower()))
 
-            def choose(m):
-                a, b = m[1], m[2]
-                kept, joined = (len(re.findall(rf"\b{re.escape(x.lower())}\b", low)) for x in (f"{a}-{b}", a + b))
-                return f"{a}-{b}" if a.lower() in HYPHEN_PREFIXES or kept > joined else a + b
+            def whole(m):
+                first, rest = m.groups()
+                kept, joined = f"{first}-{rest}", first + rest
+                return (kept if first.lower() in HYPHEN_PREFIXES or forms[kept.lower()] > forms[joined.lower()] else joined) + "\n"
 
-            return cut.sub(choose, t)
+            return cut.sub(whole, t)
 
         return texts.map(one)
 
     return run(_col(text))
 
 
+def drop_bullets(text) -> Column:
+    return F.regexp_replace(_col(text), r"(?m)^[ \t]*• ?", "")
+
+
 def unwrap_lines(text) -> Column:
     """Joins a line that goes on in lower case to an unfinished one before; then bullets' marks go."""
     joined = F.aggregate(
@@ -274,7 +286,7 @@ def unwrap_lines(text) -> Column:
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.try_element_at(done, F.lit(-1)), F.lit(" "), x))),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    return F.regexp_replace(F.array_join(joined, "\n"), r"(?m)^[ \t]*• ?", "")
+    return drop_bullets(F.array_join(joined, "\n"))
 
 
 def clean_whitespace(text) -> Column:
@@ -282,21 +294,27 @@ def clean_whitespace(text) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"\A\s+|\s+\z", ""), F.lit("\n"))
 
 
+#: Rules in order: name, the format they are for (None: all), rule, and what stands in for it in other formats.
 CLEANERS = (
-    ("normalise_characters", clean_characters),
-    ("html_boilerplate", drop_boilerplate),
-    ("toc_lines", drop_toc),
-    ("reference_section", cut_references),
-    ("unwrap_lines", unwrap_lines),
-    ("whitespace", clean_whitespace),
+    ("normalise_characters", None, clean_characters, None),
+    ("html_boilerplate", "html", drop_boilerplate, None),
+    ("toc_lines", None, drop_toc, None),
+    ("reference_section", None, cut_references, None),
+    ("hyphenated_linebreaks", "pdf", join_hyphens, None),
+    ("unwrap_lines", "pdf", unwrap_lines, drop_bullets),
+    ("whitespace", None, clean_whitespace, None),
 )
 
 
-def clean(text) -> tuple[Column, Column]:
-    """The cleaned text, and a log: rule and change in characters, in order."""
+def clean(text, kind: str = "txt") -> tuple[Column, Column]:
+    """The cleaned text of a document of one format, and a log: rule, change in characters and whether it was for this format, in order.
+
+    Running headers and footers are found over the pages of a document (:func:`lexmill.operators.sections`) before this.
+    """
     t, log = _col(text), []
-    for name, rule in CLEANERS:
-        new = rule(t)
-        log.append(F.struct(F.lit(name).alias("rule"), (F.length(new) - F.length(t)).alias("chars_delta")))
+    for name, only, rule, other in CLEANERS:
+        mine = only in (None, kind)
+        new = rule(t) if mine else other(t) if other else t
+        log.append(F.struct(F.lit(name).alias("rule"), (F.length(new) - F.length(t)).alias("chars_delta"), F.lit(mine).alias("applied")))
         t = new
     return t, F.array(*log)

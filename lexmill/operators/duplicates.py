@@ -23,14 +23,13 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def shingles(text, k: int = SHINGLE) -> Column:
-    """Distinct hashes of k lower-cased words in a row; a shorter text is one shingle, an empty one none."""
+    """Distinct hashes of k lower-cased words in a row; a shorter text has none."""
     words = T.matches(F.lower(F.col(text)), r"\w+")
     n = F.size(words)
     # The words, the words from the second on, ... side by side: nothing is cut out of the array for each shingle.
     beside = F.arrays_zip(*[F.slice(words, i + 1, F.greatest(n - (k - 1), F.lit(0))).alias(f"w{i}") for i in range(k)])
     many = F.transform(beside, lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{i}"] for i in range(k)])))
-    one = F.array(F.xxhash64(F.array_join(words, " ")))
-    return F.when(n >= k, F.array_distinct(many)).when(n > 0, one).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= k, F.array_distinct(many)).otherwise(F.array().cast("array<bigint>"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,30 +59,35 @@ def near_duplicate_members(docs: DataFrame, key: str = "doc_id", text: str = "te
     return sets.join(classes, "h", "left").select(F.col(key), F.coalesce("first_id", key).alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
+#: What counts as a citation.
+CITATION = r"\([A-Z][A-Za-z'\-]+ (et al\.?|and [A-Z][A-Za-z'\-]+),? \d{4}[a-z]?\)|\[\d+(?:[,–-]\s*\d+)*\]"
+
+
 def quality_flags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """words, flags and status (reject, flag, pass) of each document."""
-    t = F.col(text)
+    """words, flags and status (reject, flag, pass) of each document. Shares are of what there is: a text without letters or tokens has none to flag."""
+    t = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_count(t, F.lit(r"(?U)\w+"))
-    letters = T.matches(t, r"[^\W\d_]+")
-    size = F.greatest(F.size(letters), F.lit(1))
-    singles = F.size(F.filter(letters, lambda x: (F.length(x) == 1) & ~F.lower(x).isin("a", "i"))) / size
-    english = F.size(F.filter(letters, lambda x: F.lower(x).isin(*lexicon.ENGLISH_MARKS))) / size
+    # A word's neighbours are counted without building arrays of tokens.
+    tokens = F.regexp_count(t, F.lit("[A-Za-z]+"))
+    singles = F.regexp_count(t, F.lit("(?<![A-Za-z])[B-HJ-Zb-hj-z](?![A-Za-z])"))
+    marks = "|".join(sorted(lexicon.ENGLISH_MARKS))
+    english = F.regexp_count(F.lower(t), F.lit(f"(?<![a-z])(?:{marks})(?![a-z])"))
     ink = F.regexp_replace(t, r"(?U)\s+", "")
-    non_alpha = F.regexp_count(ink, F.lit(r"[^\p{L}]")) / F.greatest(F.length(ink), F.lit(1))
-    per_thousand = lambda p: 1000 * F.regexp_count(t, F.lit(p)) / F.greatest(words, F.lit(1))
+    non_alpha = F.regexp_count(ink, F.lit(r"[^\p{L}]"))
+    dense = lambda p, most: 1000 * F.regexp_count(t, F.lit(p)) > most * F.greatest(words, F.lit(1))
     leftover = F.exists(F.array(*[F.lit(p) for p in lexicon.LEFTOVER_PHRASES]), lambda p: F.lower(t).contains(p))
     toc = F.exists(F.split(t, "\n"), lambda x: x.rlike(patterns.TOC_LINE))
     checks = [
         (words < REJECT_WORDS, "REJECT:too_short"),
         ((words >= REJECT_WORDS) & (words < FLAG_WORDS), "short"),
-        (t.contains("�"), "replacement_chars"),
+        (t.contains("\ufffd"), "replacement_chars"),
         (t.rlike("[ﬀ-ﬆ]"), "ligatures"),
-        (non_alpha > NON_ALPHA, "non_alpha"),
-        (singles > SINGLES, "broken_spacing"),
-        (english < ENGLISH, "not_english"),
+        (non_alpha > NON_ALPHA * F.length(ink), "non_alpha"),
+        (singles > SINGLES * tokens, "broken_spacing"),
+        (english < ENGLISH * tokens, "not_english"),
         (toc, "toc_lines"),
-        (per_thousand(r"https?://|www\.") > URLS, "urls"),
-        (per_thousand(r"\[\d{1,3}\]|\([A-Z][a-z]+,? \d{4}\)") > CITATIONS, "citations"),
+        (dense(r"https?://|www\.", URLS), "urls"),
+        (dense(CITATION, CITATIONS), "citations"),
         (leftover, "leftovers"),
     ]
     flags = F.filter(F.array(*[F.when(c, n) for c, n in checks]), lambda x: x.isNotNull())

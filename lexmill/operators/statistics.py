@@ -176,3 +176,10 @@ def top_grams(grams: DataFrame, k: int = 10) -> DataFrame:
 def count_ngrams(text: str, n: int):
     """Of one text (a Column): its n-grams of content tokens, for an ad hoc count."""
     return F.transform(T.ngrams(T.content_tokens(text), n), lambda g: F.array_join(g, " "))
+
+
+def vocabulary_sets(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str = "b") -> DataFrame:
+    """One row: distinct words that two sets of rows share, that only one has, and of both together."""
+    count = lambda d, name: d.agg(F.count("*").alias(name))
+    made = [count(a.intersect(b), "shared"), count(a.subtract(b), f"only_{name_a}"), count(b.subtract(a), f"only_{name_b}"), count(a.union(b).distinct(), "either")]
+    return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), made)  # single rows

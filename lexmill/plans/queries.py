@@ -66,12 +66,13 @@ def _content_sql(text: str) -> str:
     return rf"list_filter(list_transform({tokens}, lambda x: lower(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
 
 
-def _sentences_sql(text: str) -> str:
-    """Units of an expression: lines, and in them what the sentence rule parts."""
+def _sentences_sql(text: str, space: str = r"[^\S\n]") -> str:
+    """Units of an expression: lines, and in them what the sentence rule parts. With ``\\s`` as space sentences go over lines."""
+    apart = "chr(10)" if "n" in space else "chr(2)"
     guard = "|".join(a[:-1].replace(".", r"\.") for a in T.ABBREVIATIONS)
     kept = rf"regexp_replace({text}, '\b({guard})\.(\s)', '\1.{_MARK}\2', 'g')"
-    cut = rf"regexp_replace({kept}, '([.!?][\"'')\]]?)[^\S\n]+([\"''(\[]?[\p{{Lu}}\p{{N}}])', '\1' || chr(10) || '\2', 'g')"
-    return rf"list_filter(string_split(replace({cut}, '{_MARK}', ''), chr(10)), lambda x: regexp_matches(x, '\S'))"
+    cut = rf"regexp_replace({kept}, '([.!?][\"'')\]]?){space}+([\"''(\[]?[\p{{Lu}}\p{{N}}])', '\1' || {apart} || '\2', 'g')"
+    return rf"list_filter(string_split(replace({cut}, '{_MARK}', ''), {apart}), lambda x: regexp_matches(x, '\S'))"
 
 
 _WS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -110,15 +111,10 @@ def lang_balance(spark, sf_dir):
 
 
 @_query(rf"""WITH u AS (SELECT 'dot' AS splitter, unnest(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS s FROM documents
-  UNION ALL SELECT 'line', unnest({_LINES}) FROM documents),
+  UNION ALL SELECT 'line', unnest({_LINES}) FROM documents UNION ALL SELECT 'line + rule', unnest({_UNITS}) FROM documents UNION ALL SELECT 'rule', unnest({_sentences_sql("text", r"\s")}) FROM documents),
 n AS (SELECT splitter, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) AS n FROM u)
 SELECT splitter, count(*) AS units, round(avg(n), 6) AS mean_words, sum((n > 60)::INT)::BIGINT AS over_60, sum((n < 3)::INT)::BIGINT AS under_3 FROM n GROUP BY splitter""")
 def splitter_comparison(spark, sf_dir):
-    return _rounded(statistics.splitter_comparison(_read(spark, sf_dir, "documents"), {k: T.SPLITTERS[k] for k in ("dot", "line")}), "mean_words")
-
-
-@_query()
-def sentence_rules(spark, sf_dir):
     return _rounded(statistics.splitter_comparison(_read(spark, sf_dir, "documents"), T.SPLITTERS), "mean_words")
 
 
@@ -154,17 +150,27 @@ def case_duplicates(spark, sf_dir):
     return statistics.case_duplicates(_read(spark, sf_dir, "documents"), _TWO)
 
 
-_PLAIN = {k: v for k, v in patterns.DOMAIN_PROBLEMS.items() if "(?<!" not in v and "(?!" not in v}
+def _forms_sql(name: str, pattern: str) -> str:
+    """All matches of a pattern; for those with lookaround with their neighbours, which then decide."""
+    text, quoted = "text", _in_sql(pattern)
+    if name == "P9":
+        # One sign more on both sides; what goes on in a letter, digit or stroke is none.
+        found = rf"regexp_extract_all({text}, '(?:^|[^./\p{{L}}\p{{N}}_])[A-Za-z]+/[A-Za-z]+[/\p{{L}}\p{{N}}_]?')"
+        return rf"list_transform(list_filter({found}, lambda x: regexp_matches(x, '[A-Za-z]$')), lambda x: regexp_extract(x, '[A-Za-z]+/[A-Za-z]+$'))"
+    if name == "P3":
+        found = rf"regexp_extract_all({text}, '(?:^|[^0-9-])[0-9]{{1,3}}(?:\.[0-9]+)?[–-][0-9]{{1,3}}(?:\.[0-9]+)?[0-9-]?')"
+        return rf"list_transform(list_filter({found}, lambda x: NOT regexp_matches(x, '(?:[–-][0-9]{{4}}|-)$')), lambda x: regexp_extract(x, '[0-9]+(?:\.[0-9]+)?[–-][0-9]+(?:\.[0-9]+)?$'))"
+    return f"regexp_extract_all({text}, '{quoted}')"
 
 
 @_query(
     "WITH m AS ("
-    + " UNION ALL ".join(f"SELECT '{k}' AS id, doc_id, unnest(regexp_extract_all(text, '{_in_sql(v)}')) AS form FROM documents" for k, v in _PLAIN.items())
+    + " UNION ALL ".join(f"SELECT '{k}' AS id, doc_id, unnest({_forms_sql(k, v)}) AS form FROM documents" for k, v in patterns.DOMAIN_PROBLEMS.items())
     + """), f AS (SELECT id, form, count(*) AS n FROM m GROUP BY id, form), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, form) AS r FROM f)
 SELECT id, count(*) AS occurrences, count(DISTINCT form) AS forms, count(DISTINCT doc_id) AS documents, (SELECT string_agg(form, ', ' ORDER BY r) FROM r WHERE r.id = m.id AND r <= 5) AS examples FROM m GROUP BY id"""
 )
 def pattern_profile(spark, sf_dir):
-    return statistics.pattern_profile(_read(spark, sf_dir, "documents"), _PLAIN)
+    return statistics.pattern_profile(_read(spark, sf_dir, "documents"), patterns.DOMAIN_PROBLEMS)
 
 
 @_query()
@@ -172,7 +178,8 @@ def number_profile(spark, sf_dir):
     return statistics.category_profile(_read(spark, sf_dir, "documents"))
 
 
-@_query()
+@_query(rf"""WITH t AS (SELECT 'tokens' AS setting, unnest({_TOKENS}) AS token FROM documents UNION ALL SELECT 'policy + tokens', unnest(regexp_extract_all({_norm_sql(_policy_sql("text"))}, '{_in_sql(patterns.TOKEN)}')) FROM documents)
+SELECT setting, count(*) AS tokens, sum(regexp_matches(token, '\p{{Nd}}')::INT)::BIGINT AS number_tokens, count(DISTINCT CASE WHEN regexp_matches(token, '\p{{Nd}}') THEN token END) AS distinct_number_tokens, count(DISTINCT token) AS vocabulary FROM t GROUP BY setting""")
 def number_policy_effect(spark, sf_dir):
     return statistics.number_policy_effect(_read(spark, sf_dir, "documents"))
 
@@ -440,7 +447,7 @@ def exact_duplicates(spark, sf_dir):
 
 
 @_query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
 r AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM s GROUP BY s), g AS (SELECT id, n, unnest(s) AS g FROM r),
 i AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4),
 j AS (SELECT a, b, k / (na + nb - k) AS jaccard, k / least(na, nb) AS containment FROM i)
@@ -450,13 +457,36 @@ def near_duplicates(spark, sf_dir):
 
 
 @_query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0)
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS first_id, count(*) OVER (PARTITION BY s) AS copies FROM s""")
 def near_duplicate_members(spark, sf_dir):
     return duplicates.near_duplicate_members(_read(spark, sf_dir, "documents"))
 
 
-@_query()
+def _qc_sql() -> str:
+    count = lambda p, of="t": f"len(regexp_extract_all({of}, '{p.replace(chr(39), chr(39) * 2)}'))"
+    low = "list_transform(regexp_extract_all(t, '[A-Za-z]+'), lambda x: lower(x))"
+    d = duplicates
+    checks = [
+        (f"words < {d.REJECT_WORDS}", "REJECT:too_short"),
+        (f"words >= {d.REJECT_WORDS} AND words < {d.FLAG_WORDS}", "short"),
+        ("contains(t, chr(65533))", "replacement_chars"),
+        ("regexp_matches(t, '[ﬀ-ﬆ]')", "ligatures"),
+        (f"length(ink) - {count('[\\p{L}]', 'ink')} > {d.NON_ALPHA} * length(ink)", "non_alpha"),
+        (f"len(list_filter(low, lambda x: length(x) = 1 AND x NOT IN ('a', 'i'))) > {d.SINGLES} * len(low)", "broken_spacing"),
+        (f"len(list_filter(low, lambda x: x IN ({_quoted(lexicon.ENGLISH_MARKS)}))) < {d.ENGLISH} * len(low)", "not_english"),
+        (f"len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{patterns.TOC_LINE}'))) > 0", "toc_lines"),
+        (f"1000 * {count('https?://|www\\.')} > {d.URLS} * greatest(words, 1)", "urls"),
+        (f"1000 * {count(d.CITATION)} > {d.CITATIONS} * greatest(words, 1)", "citations"),
+        (" OR ".join(f"contains(lower(t), '{p.replace(chr(39), chr(39) * 2)}')" for p in lexicon.LEFTOVER_PHRASES), "leftovers"),
+    ]
+    flags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in checks)
+    return rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (SELECT *, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) AS words, {low} AS low, regexp_replace(t, '[\s\p{{Z}}]+', '', 'g') AS ink FROM a),
+f AS (SELECT doc_id, words, list_filter([{flags}], lambda x: x IS NOT NULL) AS f FROM b)
+SELECT doc_id, words, array_to_string(f, '; ') AS flags, CASE WHEN len(list_filter(f, lambda x: starts_with(x, 'REJECT'))) > 0 THEN 'reject' WHEN len(f) > 0 THEN 'flag' ELSE 'pass' END AS status FROM f"""
+
+
+@_query(_qc_sql())
 def qc_flags(spark, sf_dir):
     return duplicates.quality_flags(_read(spark, sf_dir, "documents"))
 
@@ -470,7 +500,11 @@ def top_terms_qc(spark, sf_dir):
     return _rounded(rows.withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
-@_query()
+_SEEDS = {t: " + ".join(f"(length(low) - length(replace(low, '{x}', ''))) / {len(x)}" for x in seeds) for t, seeds in lexicon.TOPIC_SEEDS.items()}
+
+
+@_query(rf"""WITH a AS (SELECT doc_id, lower(text) AS low, greatest(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')), 1) AS words FROM documents)
+SELECT doc_id, {", ".join(f'round(1000 * ({e}) / words, 6) AS "{t}"' for t, e in _SEEDS.items())} FROM a""")
 def topic_alignment(spark, sf_dir):
     rows = duplicates.topic_alignment(_read(spark, sf_dir, "documents"))
     return _rounded(rows, *lexicon.TOPIC_SEEDS)
@@ -527,6 +561,18 @@ def bag_scores(spark, sf_dir):
     return _rounded(tagging.bag_score(gold, gold.withColumn("term", T.light_stem("term")), ["doc_id", "term"]), "precision", "recall", "f1")
 
 
+def _words_of(lang: str) -> str:
+    return f"SELECT unnest({_TERMS}) AS w FROM documents WHERE lang = '{lang}'"
+
+
+@_query(f"""SELECT (SELECT count(*) FROM (({_words_of('en')}) INTERSECT ({_words_of('de')}))) AS shared, (SELECT count(*) FROM (({_words_of('en')}) EXCEPT ({_words_of('de')}))) AS only_en,
+  (SELECT count(*) FROM (({_words_of('de')}) EXCEPT ({_words_of('en')}))) AS only_de, (SELECT count(*) FROM (({_words_of('en')}) UNION ({_words_of('de')}))) AS either""")
+def vocabulary_sets(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    en, de = (docs.where(F.col("lang") == x).select(F.explode(T.content_tokens("text")).alias("w")) for x in ("en", "de"))
+    return statistics.vocabulary_sets(en, de, "en", "de")
+
+
 @_query()
 def rule_tags(spark, sf_dir):
     rows = _read(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("token"))

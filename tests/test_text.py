@@ -156,6 +156,13 @@ def test_boolean_reads_the_postings_once(spark, index, tmp_path):
     assert ids(retrieval.boolean(stored, "NOT zzz")) == [1, 2, 3, 4, 5]
 
 
+def test_best_snippet_marks_words_of_the_stem(index):
+    got = {r["doc_id"]: r["snippet"] for r in retrieval.best_snippet(index, ["panics", "disorder"]).collect()}
+    assert set(got) == set(ids(retrieval.keyword(index, ["panic", "disorder"])))
+    assert all("**" in s for s in got.values()) and "**Panic** **disorder**" in got[2]
+    assert retrieval.best_snippet(index, ["zzz"]).count() == 0
+
+
 def test_evaluation(spark):
     ranked = spark.createDataFrame([("Q", 1, 1), ("Q", 2, 2), ("Q", 3, 3), ("Q", 4, 4)], "query_id string, doc_id long, rank int")
     judged = spark.createDataFrame([("Q", 2), ("Q", 9), ("R", 1)], "query_id string, doc_id long")
@@ -176,6 +183,13 @@ def test_duplicates(spark):
     assert set(status.values()) == {"reject"}
 
 
+def test_quality_flags_count_as_the_rules_say(spark):
+    plain = "the plan of this week is to walk and to sleep well in a quiet room with all that we have " * 20
+    rows = [(1, plain), (2, "日本語 " * 400), (3, plain + " see (Smith et al., 2001) and [1, 2]" * 20), (4, "x y z q " * 100), (5, plain + "\ufffd ﬁ http://a"), (6, None)]
+    got = {r["doc_id"]: (r["status"], r["flags"]) for r in duplicates.quality_flags(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("pass", ""), 2: ("pass", ""), 3: ("flag", "citations"), 4: ("flag", "broken_spacing; not_english"), 5: ("flag", "replacement_chars; ligatures"), 6: ("reject", "REJECT:too_short")}
+
+
 def test_near_duplicate_members(spark):
     base = " ".join(f"w{i}" for i in range(40))
     said = "a b c d e f "
@@ -267,10 +281,15 @@ def test_pipelines(spark, docs):
 def test_cleaning(spark):
     assert one(spark, T.clean_characters("text"), "ﬁne “q” a­b") == 'fine "q" ab'
     text = "• one\nitem goes\non here.\nContents\nIntro ..... 3\nBack to top"
-    cleaned = one(spark, T.clean(F.col("text"))[0], text)
-    assert cleaned == "one item goes on here.\n"
+    # Lines are joined in PDF only, boilerplate goes in HTML only, bullets' marks and tables of contents everywhere.
+    for kind, want in (("pdf", "one item goes on here.\nBack to top\n"), ("html", "one\nitem goes\non here.\n"), ("txt", "one\nitem goes\non here.\nBack to top\n")):
+        cleaned = one(spark, T.clean(F.col("text"), kind)[0], text)
+        assert cleaned == want
+    log = one(spark, T.clean(F.col("text"), "pdf")[1], text)
+    assert [x["rule"] for x in log if not x["applied"]] == ["html_boilerplate"]
     assert one(spark, T.clean_whitespace("text"), cleaned) == cleaned
     assert one(spark, T.cut_references("text"), "a" * 50 + "\nReferences\nx") == "a" * 50
+    assert one(spark, T.cut_references("text"), "References\n" + "a" * 50) == "References\n" + "a" * 50
 
 
 def test_sections(spark):
@@ -326,7 +345,7 @@ def test_probes(spark, docs):
     cases = spark.createDataFrame([("code", "See DSM-5.", ["DSM-5"])], "case string, text string, expected array<string>")
     assert {r["tokenizer"]: r["whole"] for r in views.tokenizer_check(cases).collect()} == {"whitespace": False, "treebank": True, "custom": True}
     assert views.stop_views(cases.selectExpr("'you should not stop' AS text")).first()["custom"] == "should not stop"
-    assert one(spark, T.join_hyphens("text"), "medi-\ncine and self-\nharm, co-op; on-\nline online on-line on-line on-line") == "medicine and self-harm, co-op; on-line online on-line on-line on-line"
+    assert one(spark, T.join_hyphens("text"), "medi-\ncine and self-\n  harm, co-op; on-\nline online on-line on-line on-line") == "medicine\n and self-harm\n, co-op; on-line\n online on-line on-line on-line"
 
 
 def test_relevance_and_tables(spark, docs):
