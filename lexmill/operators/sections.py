@@ -71,8 +71,8 @@ def units(lines: DataFrame, selected: DataFrame | None = None, key: str = "doc_i
     sorted_lines = F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"])
     made = rows.groupBy(key, "unit", "first_page", "last_page").agg(sorted_lines.alias("rows"))
     mark = F.lit(HEADING_MARK)
-    plain: Column = F.transform("rows", lambda x: F.when(x.startswith(HEADING_MARK), F.substring(x, len(HEADING_MARK) + 1, 1 << 20)).otherwise(x))
-    heads = F.slice(F.transform(F.filter("rows", lambda x: x.startswith(mark)), lambda x: F.substring(x, len(HEADING_MARK) + 1, 1 << 20)), 1, 30)
+    plain: Column = F.transform("rows", lambda x: F.when(x.startswith(HEADING_MARK), F.substr(x, F.lit(len(HEADING_MARK) + 1))).otherwise(x))
+    heads = F.slice(F.transform(F.filter("rows", lambda x: x.startswith(mark)), lambda x: F.substr(x, F.lit(len(HEADING_MARK) + 1))), 1, 30)
     text = F.array_join(plain, "\n")
     return made.select(key, F.format_string("%s-U%02d", F.col(key).cast("string"), "unit").alias("unit_id"), F.when(F.col("first_page") == F.col("last_page"), F.col("first_page").cast("string")).otherwise(F.concat_ws("-", "first_page", "last_page")).alias("pages"), heads.alias("headings"), text.alias("text"), F.regexp_count(text, F.lit(r"(?U)\w+")).alias("n_words"))
 
