@@ -47,7 +47,7 @@ ANCHOR, CONTENT = np.uint64(2**64 - 1), np.uint64(2**64 - 1)
 _NAMES = ("bucket", "kind", "data")
 _SCHEMA = "bucket int, kind int, data binary"
 ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("n", "u1"), ("off", "u1"), ("big", "u1")])
-ASKED = np.dtype([("g", "<u8"), ("s", "<i4"), ("n", "u1"), ("off", "u1")])
+ASKED = np.dtype([("g", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("n", "u1"), ("off", "u1")])
 SENT = np.dtype([("g", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("n", "u1"), ("off", "u1"), ("text", "u1", SEGMENT)])
 WINDOW = np.dtype([("w", "<u8"), ("rid", "<i8"), ("s", "<i4"), ("text", "u1", LENGTH)])
 MARK = np.dtype([("rid", "<i8"), ("s", "<i4"), ("e", "<i4")])
@@ -55,9 +55,9 @@ MARK = np.dtype([("rid", "<i8"), ("s", "<i4"), ("e", "<i4")])
 MARKS, FEW, MANY, ENTRIES = 1, 2, 3, 4
 
 
-def _batch(rows: list[tuple[int, int, bytes]], names=_NAMES, first=pa.int32()) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], first), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=list(_NAMES))
 
 
 def _deal(kind: int, rows: np.ndarray, key: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
@@ -68,14 +68,12 @@ def _deal(kind: int, rows: np.ndarray, key: np.ndarray, parts: int) -> list[tupl
     return [(b, kind, rows[a:e].tobytes()) for b, (a, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)) if e > a]
 
 
-def _by_text(kind: int, rid: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(rid, kind, packed rows) for each text."""
-    if not len(rid):
-        return []
-    order = np.argsort(rid, kind="stable")
-    rid, rows = rid[order], rows[order]
-    cut = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
-    return [(int(rid[a]), kind, rows[a:e].tobytes()) for a, e in zip(cut, np.concatenate([cut[1:], [len(rid)]]), strict=True)]
+def _by_text(kind: int, rows: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Packs rows by the bucket of their text."""
+    bucket = rows["rid"] % parts
+    order = np.lexsort((rows["rid"], bucket))
+    rows, ends = rows[order], np.cumsum(np.bincount(bucket, minlength=parts))
+    return [(b, kind, rows[a:e].tobytes()) for b, (a, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)) if e > a]
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -114,7 +112,7 @@ def _equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray)
 
 
 def _anchors(texts: DataFrame, parts: int) -> DataFrame:
-    """rid, kind, data: marks of runs that repeat as a whole among a sender's rows, and what is asked of each text."""
+    """bucket (of texts), kind, data: marks of runs that repeat as a whole among a sender's rows, and what is asked of texts."""
 
     def deal(batches):
         held, pieces, n, size = [], [], 0, 0
@@ -134,12 +132,12 @@ def _anchors(texts: DataFrame, parts: int) -> DataFrame:
             rows = []
             if len(again):
                 m = _marks(again["rid"], again["s"], again["s"] + again["n"])
-                rows += _deal(MARKS, m, m["rid"].view(np.uint64) << np.uint64(20), parts)
+                rows += _by_text(MARKS, m, parts)
             group = np.cumsum(_starts(e["g"])) - 1
             many = np.bincount(group)[group] > ROWS
             if many.any():
                 ask = e[many]
-                rows += _deal(MANY, ask, ask["rid"].view(np.uint64) << np.uint64(20), parts)
+                rows += _by_text(MANY, ask, parts)
                 one = ask[_starts(ask["g"])].copy()
                 one["big"] = 1
                 e = np.concatenate([e[~many], one])
@@ -186,20 +184,20 @@ def _anchors(texts: DataFrame, parts: int) -> DataFrame:
                 ask = np.zeros(len(few), ASKED)
                 for c in ASKED.names:
                     ask[c] = few[c]
-                rows += _by_text(FEW, few["rid"], ask)
+                rows += _by_text(FEW, ask, parts)
                 asked.append(e[many])
         if asked:
             e = np.concatenate(asked)
             ask = np.zeros(len(e), ASKED)
             for c in ASKED.names:
                 ask[c] = e[c]
-            rows += _by_text(MANY, e["rid"], ask)
+            rows += _by_text(MANY, ask, parts)
         if marks:
             m = np.concatenate(marks)
-            rows += _by_text(MARKS, m["rid"], m)
-        yield _batch(rows, ("rid", "kind", "data"), pa.int64())
+            rows += _by_text(MARKS, m, parts)
+        yield _batch(rows)
 
-    return texts.select("rid", "text").mapInArrow(trimmed(deal), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), "rid bigint, kind int, data binary")
+    return texts.select("rid", "text").mapInArrow(trimmed(deal), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), _SCHEMA)
 
 
 def whole_runs(sent: np.ndarray) -> np.ndarray:
@@ -246,14 +244,39 @@ def equal_windows(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[again], sent["s"][row[again]] + shift[again]
 
 
+def _with_texts(texts: DataFrame, packed: DataFrame, parts: int) -> DataFrame:
+    """The texts' rows (kind 0) in partitions of their buckets, behind what is packed for them (bucket, kind, data)."""
+    rows = texts.select(F.pmod("rid", F.lit(parts)).cast("int").alias("bucket"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("data"), *texts.columns)
+    return rows.unionByName(packed, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", F.desc("kind"))
+
+
+class _Packed:
+    """What was packed for the texts of a bucket, by text."""
+
+    def __init__(self):
+        self.bucket, self.held, self.rows = None, {}, {}
+
+    def add(self, bucket: int, kind: int, data: bytes, dtype: np.dtype) -> None:
+        if bucket != self.bucket:
+            self.bucket, self.held, self.rows = bucket, {}, {}
+        self.held.setdefault(kind, []).append(np.frombuffer(data, dtype))
+
+    def of(self, bucket: int, kind: int, rid: int) -> np.ndarray | None:
+        if bucket != self.bucket or kind not in self.held and kind not in self.rows:
+            return None
+        if kind in self.held:
+            rows = np.concatenate(self.held.pop(kind))
+            self.rows[kind] = rows[np.argsort(rows["rid"], kind="stable")]
+        rows = self.rows[kind]
+        a, e = np.searchsorted(rows["rid"], (rid, rid + 1))
+        return rows[a:e] if e > a else None
+
+
 def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
-    """rid, kind (marks), data: repeated windows of the runs that were asked for."""
-    lists = asked.groupBy("rid").agg(F.collect_list(F.struct("kind", "data")).alias("asked"))
-    # All columns and rows go along, so that this join and the last one deal out the texts in the same way, once.
-    both = texts.join(lists, "rid", "left").select("rid", "text", "asked", *[c for c in texts.columns if c not in ("rid", "text")])
+    """bucket, kind (marks), data: repeated windows of the runs that were asked for."""
 
     def fetch(batches):
-        few, many, n = [], [], 0
+        few, many, n, packed = [], [], 0, _Packed()
 
         def out():
             rows, marks = [], []
@@ -270,26 +293,27 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
                 marks.append(_marks(again["rid"], again["s"], again["s"]))
                 rows += _deal(MANY, first, first["w"], parts)
             m = np.concatenate(marks)
-            return _batch(rows + (_deal(MARKS, m, m["rid"].view(np.uint64) << np.uint64(20), parts) if len(m) else []))
+            return _batch(rows + (_by_text(MARKS, m, parts) if len(m) else []))
 
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column(2)))
-            for rid, text, lists in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for bucket, kind, data, rid, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if kind:
+                    packed.add(bucket, kind, data, ASKED)
+                    continue
+                got = {k: packed.of(bucket, k, rid) for k in (FEW, MANY)}
+                if got[FEW] is None and got[MANY] is None:
+                    continue
                 data = np.frombuffer((text or "").encode(), np.uint8)
-                got = {k: [np.frombuffer(x["data"], ASKED) for x in lists if x["kind"] == k] for k in (FEW, MANY)}
-                if got[FEW]:
-                    a = np.concatenate(got[FEW])
+                if (a := got[FEW]) is not None:
                     f = np.zeros(len(a), SENT)
                     for c in ASKED.names:
                         f[c] = a[c]
-                    f["rid"] = rid
                     size = a["n"].astype(np.int64) + LENGTH
                     look = np.minimum(a["s"][:, None] + np.arange(SEGMENT)[None, :], len(data) - 1)
                     f["text"] = np.where(np.arange(SEGMENT)[None, :] < size[:, None], data[look], 0)
                     few.append(f)
                     n += 4 * len(f)
-                if got[MANY]:
-                    a = np.concatenate(got[MANY])
+                if (a := got[MANY]) is not None:
                     count = a["n"].astype(np.int64) + 1
                     s = np.repeat(a["s"].astype(np.int64) - np.cumsum(count) + count, count) + np.arange(count.sum())
                     w = np.zeros(len(s), WINDOW)
@@ -332,9 +356,10 @@ def _windows(texts: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
                     marks.append(_marks(f["rid"][a:e][row], at, at))
         m = np.concatenate(marks) if marks else np.zeros(0, MARK)
         m = _marks(m["rid"], m["s"], m["e"]) if len(m) else m
-        yield _batch(_by_text(MARKS, m["rid"], m), ("rid", "kind", "data"), pa.int64())
+        yield _batch(_by_text(MARKS, m, parts) if len(m) else [])
 
-    return both.mapInArrow(trimmed(fetch), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), "rid bigint, kind int, data binary")
+    both = _with_texts(texts.select("rid", "text"), asked, parts)
+    return both.mapInArrow(trimmed(fetch), _SCHEMA).repartition("bucket").mapInArrow(trimmed(meet), _SCHEMA)
 
 
 def same_windows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,13 +372,11 @@ def same_windows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[~first], w[first]
 
 
-def kept(text: bytes, marks: list[bytes]) -> tuple[np.ndarray, int]:
+def kept(text: bytes, marks: np.ndarray) -> tuple[np.ndarray, int]:
     """Which bytes stay, and the number of maximal removed runs."""
     cover = np.zeros(len(text) + 1, np.int32)
-    for m in marks:
-        m = np.frombuffer(m, MARK)
-        np.add.at(cover, m["s"], 1)
-        np.add.at(cover, m["e"].astype(np.int64) + LENGTH, -1)
+    np.add.at(cover, marks["s"], 1)
+    np.add.at(cover, marks["e"].astype(np.int64) + LENGTH, -1)
     gone = np.cumsum(cover[:-1]) > 0
     return ~gone, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
 
@@ -372,28 +395,43 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """_row (a struct of the columns but ``text``), _kept (binary, the remaining bytes), _bytes, _removed and _spans of each row."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) | 1
+    while any(parts % i == 0 for i in range(3, int(parts**0.5) + 1, 2)):
+        parts += 2  # a prime, so that ids in steps spread as well
     own = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("_row")
     rows = _numbered(docs.select(own, F.col(key).cast("bigint").alias("_id"), F.col(text).alias("text"))).select("rid", "text", "_row")
     found = stored(_anchors(rows, parts), "anchors")
-    marks = found.where(F.col("kind") == MARKS).union(_windows(rows, found.where(F.col("kind") != MARKS), parts))
-    lists = marks.groupBy("rid").agg(F.collect_list("data").alias("_marks"))
-    both = rows.join(lists, "rid", "left").select("_row", "text", "_marks")
-
-    def cut(cols, n):
-        out = {"_row": cols["_row"]} | {c: [] for c in ("_kept", "_bytes", "_removed", "_spans")}
-        for t, m in zip(cols["text"], cols["_marks"], strict=True):
-            raw, spans = (t or "").encode(), 0
-            stay = raw
-            if m:
-                keep, spans = kept(raw, m)
-                stay = np.frombuffer(raw, np.uint8)[keep].tobytes()
-            for c, v in (("_kept", stay), ("_bytes", len(raw)), ("_removed", len(raw) - len(stay)), ("_spans", spans)):
-                out[c].append(v)
-        return out
-
+    # Written, so that the texts dealt out for it go before they are dealt out again.
+    more = stored(_windows(rows, found.where(F.col("kind") != MARKS), parts), "windows")
+    both = _with_texts(rows, found.where(F.col("kind") == MARKS).unionByName(more), parts)
     kind = rows.schema["_row"].dataType.simpleString()
-    return map_arrow(both, cut, f"_row {kind}, _kept binary, _bytes bigint, _removed bigint, _spans bigint", "text")
+    schema = f"_row {kind}, _kept binary, _bytes bigint, _removed bigint, _spans bigint"
+
+    def cut(batches):
+        packed = _Packed()
+        for batch in batches:
+            bucket, kinds = (batch.column(i).to_numpy() for i in (0, 1))
+            # Runs of rows of one bucket that are all packed or all texts.
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | ((kinds[1:] == 0) != (kinds[:-1] == 0))) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                run = batch.slice(x, y - x)
+                if y > x and kinds[x]:
+                    for data in run.column(2).to_pylist():
+                        packed.add(bucket[x], MARKS, data, MARK)
+                    continue
+                for part in sliced(run, "text", _SLICE):
+                    out = [[], [], [], []]
+                    for rid, text in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                        raw, spans = (text or "").encode(), 0
+                        stay, m = raw, packed.of(bucket[x], MARKS, rid)
+                        if m is not None:
+                            keep, spans = kept(raw, m)
+                            stay = np.frombuffer(raw, np.uint8)[keep].tobytes()
+                        for c, v in zip(out, (stay, len(raw), len(raw) - len(stay), spans), strict=True):
+                            c.append(v)
+                    yield pa.RecordBatch.from_arrays([part.column(5), *(pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["_row", "_kept", "_bytes", "_removed", "_spans"])
+
+    return both.mapInArrow(trimmed(cut), schema)
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
