@@ -149,6 +149,24 @@ def sentence_ngrams(sentences: DataFrame, sizes=(1, 2, 3, 4, 5), terms: str = "t
     return sentences.select(F.explode(made).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("count"))
 
 
+def _hashed(n: int):
+    return lambda z: F.struct(F.lit(n).cast("bigint").alias("n"), F.xxhash64(*[z[f"h{i}"] for i in range(n)]).alias("gram"))
+
+
+def hashed_ngrams(sentences: DataFrame, sizes=(1, 2, 3, 4, 5), terms: str = "terms") -> DataFrame:
+    """n, gram (64 bits of hash), count: as :func:`sentence_ngrams`, for tables that need counts only.
+
+    Words are hashed once and their hashes laid side by side, so no n-gram is built or shuffled as text. With k different
+    grams the chance of any collision is about k² / 2⁶⁵.
+    """
+    rows = sentences.select(F.transform(terms, lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+    made = []
+    for n in sizes:
+        beside = F.arrays_zip(*[F.slice("h", i + 1, F.greatest(F.size("h") - (n - 1), F.lit(0))).alias(f"h{i}") for i in range(n)])
+        made.append(F.transform(beside, _hashed(n)))
+    return rows.select(F.explode(F.flatten(F.array(*made))).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("count"))
+
+
 def ngram_summary(grams: DataFrame) -> DataFrame:
     once = F.sum((F.col("count") == 1).cast("bigint"))
     return grams.groupBy("n").agg(F.sum("count").alias("total"), F.count("*").alias("distinct"), (100 * once / F.count("*")).alias("seen_once_pct"))

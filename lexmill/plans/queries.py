@@ -262,19 +262,19 @@ _GRAMS = f"""WITH l AS ({_LINE_TERMS}), g AS (SELECT n, array_to_string(t[i:i +
 c AS (SELECT n, gram, count(*) AS "count" FROM g GROUP BY n, gram)"""
 
 
-def _grams(spark, sf_dir) -> DataFrame:
+def _grams(spark, sf_dir, made=statistics.sentence_ngrams) -> DataFrame:
     units = _read(spark, sf_dir, "documents").select(F.explode(T.sentences("text")).alias("s")).select(T.content_tokens("s").alias("terms"))
-    return statistics.sentence_ngrams(units)
+    return made(units)
 
 
 @_query(_GRAMS + 'SELECT n, sum("count")::BIGINT AS total, count(*) AS "distinct", round(100 * sum(("count" = 1)::INT) / count(*), 6) AS seen_once_pct FROM c GROUP BY n')
 def ngram_summary(spark, sf_dir):
-    return _rounded(statistics.ngram_summary(_grams(spark, sf_dir)), "seen_once_pct")
+    return _rounded(statistics.ngram_summary(_grams(spark, sf_dir, statistics.hashed_ngrams)), "seen_once_pct")
 
 
 @_query(_GRAMS + """SELECT n, CASE WHEN "count" = 1 THEN '1' WHEN "count" = 2 THEN '2' WHEN "count" <= 5 THEN '3-5' WHEN "count" <= 10 THEN '6-10' ELSE '>10' END AS bin, count(*) AS grams FROM c GROUP BY 1, 2""")
 def ngram_bins(spark, sf_dir):
-    return statistics.ngram_bins(_grams(spark, sf_dir))
+    return statistics.ngram_bins(_grams(spark, sf_dir, statistics.hashed_ngrams))
 
 
 @_query(_GRAMS + f"""SELECT n, gram, "count" FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY "count" DESC, gram) AS r FROM c WHERE split_part(gram, ' ', 1) NOT IN ({_quoted(lexicon.CUSTOM_STOPWORDS)}) AND split_part(gram, ' ', -1) NOT IN ({_quoted(lexicon.CUSTOM_STOPWORDS)})) WHERE r <= 10""")
