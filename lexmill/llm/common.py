@@ -60,8 +60,8 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-#: A task that has seen fewer bytes leaves its worker as it is.
-_TRIM = 4 << 20
+#: A task that has seen fewer bytes, and holds nothing to let go of, leaves its worker as it is.
+_TRIM = 1 << 18
 
 
 def trimmed(run: Callable, after: Callable[[], None] | None = None) -> Callable:
@@ -79,9 +79,9 @@ def trimmed(run: Callable, after: Callable[[], None] | None = None) -> Callable:
         try:
             yield from run(counted())
         finally:
-            if seen > _TRIM:
-                if after:
-                    after()
+            if after:
+                after()
+            if after or seen > _TRIM:
                 gc.collect()
                 pa.default_memory_pool().release_unused()
                 if hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
