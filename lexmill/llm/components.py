@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     steps = []
     while True:
         both = edges.select(F.col("a").alias("v"), F.col("a").alias("m")).union(edges.select("b", "a"))
-        steps.append(_flat(stored(both.groupBy("v").agg(F.min("m").alias("to")), "labels")))
+        steps.append(flat(stored(both.groupBy("v").agg(F.min("m").alias("to")), "labels")))
         a, b = (steps[-1].select(F.col("v").alias(x), F.col("to").alias(f"{x}2")) for x in "ab")
         moved = edges.join(a, "a").join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
         edges = stored(moved, "edges")
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     return found.withColumnRenamed("to", "root")
 
 
-def _flat(labels: DataFrame) -> DataFrame:
+def flat(labels: DataFrame) -> DataFrame:
     """Every vertex's root in the forest of (v, to)."""
     while True:
         # Where a root is the target there is nothing to follow, so a star's leaves never meet in a task.

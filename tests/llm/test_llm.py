@@ -169,7 +169,7 @@ def near_copies(rng, base, n, changes):
     return out
 
 
-@pytest.mark.parametrize(("pairs", "block", "hot"), [(24, 256, 13), (2, 4, 13), (5, 3, 3)])
+@pytest.mark.parametrize(("pairs", "block", "hot"), [(2, 4, 13), (5, 3, 3)])
 def test_jaccard_balls_equal_brute_force(spark, monkeypatch, pairs, block, hot):
     """Groups of near copies of up to 8 changes, some linked only through others; small limits send them through balls, blocks and dealt tokens.
 
@@ -331,18 +331,23 @@ def test_repeats_odd_rows(docs):
     assert cut.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in cut.collect())
 
 
-@pytest.mark.parametrize(("contents", "pairs"), [(1, 8), (3, 2), (64, 2), (64, 8)])
-def test_repeats_paths(monkeypatch, contents, pairs):
-    """Each way of comparing windows gives the brute-force result; run in this process, stage by stage."""
-    monkeypatch.setattr(repeats, "CONTENTS", contents)
-    monkeypatch.setattr(repeats, "PAIRS", pairs)
+@pytest.mark.parametrize("bits", [64, 8, 2])
+@pytest.mark.parametrize("limit", [1, 3, 512])
+def test_repeats_paths(monkeypatch, limit, bits):
+    """Each way of comparing windows gives the brute-force result, with hashes cut to a few bits as well; run in this process, stage by stage."""
+    monkeypatch.setattr(repeats, "ROWS", limit)
+    monkeypatch.setattr(repeats, "SLICED", 7)
+    for name in ("ANCHOR", "CONTENT"):
+        monkeypatch.setattr(repeats, name, np.uint64(2**bits - 1))
+    whole = suffixes.Text.hash
+    monkeypatch.setattr(suffixes.Text, "hash", lambda self, at, length: grams.mixed(whole(self, at, length)) & np.uint64(2**bits - 1))
     rng = random.Random(3)
     passage = words(rng, 30)
     rows = [(i, words(rng, 25) + " " + passage[: rng.randrange(60, len(passage))] + " " + words(rng, 25)) for i in range(30)]
     marks = run_repeats(rows)
     want = brute_repeats(rows)
     for i, t in rows:
-        keep, spans = repeats.kept(t.encode(), marks.get(i, []))
+        keep, spans = repeats.kept(t.encode(), marks.get(i, np.zeros(0, repeats.MARK)))
         assert (len(t.encode()) - int(keep.sum()), spans) == want[i][1:3]
 
 
@@ -363,57 +368,49 @@ def test_repeats_last_group_straddles_a_slice(monkeypatch):
                 self.out = [r for b in fn(iter([batch])) for r in b.to_pylist()]
             return self
 
-        groupBy = agg = join = select = repartition = lambda self, *_: self
+        select = repartition = lambda self, *_: self
 
-    monkeypatch.setattr(repeats, "F", __import__("unittest.mock").mock.MagicMock())
-    done = repeats._windows(Frame(), Frame(), 3)
-    assert [r["rid"] for r in done.out] == [i for i in range(len(f)) if i % 3]
+    monkeypatch.setattr(repeats, "_with_texts", lambda texts, *_: texts)
+    monkeypatch.setattr(repeats, "SLICED", 10_000)
+    for whole in (False, True):
+        if not whole:  # then only the sorted windows tell
+            monkeypatch.setattr(repeats, "whole_runs", lambda f: np.zeros(len(f), bool))
+        else:
+            monkeypatch.undo()
+            monkeypatch.setattr(repeats, "_with_texts", lambda texts, *_: texts)
+        done = repeats._windows(Frame(), Frame(), 3)
+        assert sorted(int(x) for r in done.out for x in np.frombuffer(r["data"], repeats.MARK)["rid"]) == [i for i in range(len(f)) if i % 3]
 
 
 def run_repeats(rows):
     import pyarrow as pa
 
-    class Frame:  # what the stages ask of a frame, over lists of batches
-        columns = ("rid", "text")
-
+    class Frame:  # what the stages ask of a frame, over a list of batches
         def __init__(self, batches):
             self.batches = batches
 
-        def select(self, *_):
-            return self
-
         def mapInArrow(self, fn, _):
             return Frame([b for b in fn(iter(self.batches))])
 
-        def repartition(self, *_):
-            return self
-
-        def groupBy(self, *_):
-            return self
-
-        def agg(self, *_):
-            held = defaultdict(list)
-            for b in self.batches:
-                for r in b.to_pylist():
-                    held[r["rid"]].append({"kind": r["kind"], "data": r["data"]})
-            self.lists = held
-            return self
-
-        def join(self, other, *_):
-            got = [(r, t, other.lists[r]) for b in self.batches for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if r in other.lists]
-            return Frame([pa.RecordBatch.from_pydict({"rid": [g[0] for g in got], "text": [g[1] for g in got], "asked": [g[2] for g in got]})]) if got else Frame([])
+        select = repartition = lambda self, *_: self
 
+    parts = 3
     texts_ = Frame([pa.RecordBatch.from_pydict({"rid": [r for r, _ in part], "text": [t for _, t in part]}) for part in (rows[:11], rows[11:])])
-    found = [r for b in repeats._anchors(texts_, 3).batches for r in b.to_pylist()]
-    asked = [r for r in found if r["kind"] != repeats.MARKS]
+    found = [r for b in repeats._anchors(texts_, parts).batches for r in b.to_pylist()]
     import unittest.mock as m
 
-    with m.patch.object(repeats, "F"):
-        more = repeats._windows(texts_, Frame([pa.RecordBatch.from_pylist(asked)] if asked else []), 3).batches
+    def with_texts(_, packed, parts):
+        every = sorted([*((r["bucket"], r["kind"], r["data"], None, None) for r in packed), *((i % parts, 0, None, i, t) for i, t in rows)], key=lambda r: (r[0], -r[1]))
+        return Frame([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*every), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string()))], names=["bucket", "kind", "data", "rid", "text"])])
+
+    with m.patch.object(repeats, "_with_texts", with_texts):
+        more = repeats._windows(texts_, [r for r in found if r["kind"] != repeats.MARKS], parts).batches
     marks = defaultdict(list)
     for r in [r for r in found if r["kind"] == repeats.MARKS] + [r for b in more for r in b.to_pylist()]:
-        marks[r["rid"]].append(r["data"])
-    return marks
+        for x in np.frombuffer(r["data"], repeats.MARK):
+            marks[int(x["rid"])].append(x)
+            assert int(x["rid"]) % parts == r["bucket"]
+    return {i: np.array(x, repeats.MARK) for i, x in marks.items()}
 
 
 def test_suffix_sort_and_extensions():
@@ -428,10 +425,16 @@ def test_suffix_sort_and_extensions():
         own = [int(at[i]) for i in order if group[i] == g]
         assert [raw[x : x + 30] for x in own] == sorted(raw[x : x + 30] for x in own)
     x, y = rng.integers(40, 300, 200), rng.integers(40, 300, 200)
-    fore, back = text.common(x, y, np.full(200, 35)), text.common_back(x, y, np.full(200, 35))
-    for a, b, f, k in zip(x, y, fore, back, strict=True):
+    fore = text.common(x, y, np.full(200, 35))
+    for a, b, f in zip(x, y, fore, strict=True):
         assert f == next((i for i in range(35) if raw[a + i] != raw[b + i]), 35)
-        assert k == next((i for i in range(35) if raw[a - 1 - i] != raw[b - 1 - i]), 35)
+    # A shuffled order is found out and mended.
+    wrong = np.concatenate([rng.permutation(190), 190 + rng.permutation(190)])
+    mended, same = text.verified(at, group, 30, wrong)
+    for g in (0, 1):
+        own = [raw[at[i] : at[i] + 30] for i in mended if group[i] == g]
+        assert own == sorted(own)
+        assert same[group == g].tolist() == [False, *(x == y for x, y in zip(own, own[1:]))]
 
 
 def test_anchors_follow_content():
@@ -504,6 +507,15 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_maps_and_empty_sizes(spark):
+    rows = [(i, " " if i % 2 else None, "a", {"k": i % 3}) for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string, int>")
+    assert {(r["size"], r["taken"]) for r in mixing.mix(d).collect()} == {(0, 0)} and mixing.mix(d).count() == 50
+    assert mixing.mixture(d).count() == 0
+    full = d.withColumn("text", F.lit("a b c"))
+    assert mixing.mix(full).agg(F.sum("taken")).first()[0] == 225 and mixing.mixture(full).count() == 75
+
+
 # 6 and 9
 
 
@@ -677,6 +689,18 @@ def test_chat(spark):
     assert chat.digest(chat.windows(d.where("false"))).count() == 0
 
 
+def test_chat_large_system_turn():
+    """A system turn over half of the budget is in the first window only; no window exceeds the budget but for a turn that does so alone."""
+    for size, budget in ((3000, 1024), (600, 1024), (100, 1024)):
+        w = chat.Windows(budget, 2)
+        turns = [("system", "s " * size)] + [(("user", "assistant")[i % 2], f"t{i} " * 150) for i in range(12)]
+        out = [x for r, t in turns for x in w.add(r, t)] + list(w.end())
+        assert [t for text, _, new in out for t in chat.read_back(text, new)] == turns
+        held = ["s s" in text for text, _, _ in out]
+        assert held[0] and all(held) == (2 * size < budget) and any(held[1:]) == (2 * size < budget)
+        assert all(chat.tokens(text) <= budget for text, _, _ in out[size > budget :])
+
+
 # 10
 
 
@@ -693,10 +717,29 @@ def test_nearest(spark, monkeypatch):
         want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted((-int(x @ y), j) for j, y in good if j != i)[:5])]
     got = sorted(tuple(r) for r in nearest.search(d, q, 5).where("query_id <> 650").collect())
     assert got == sorted(want)
-    assert sorted(tuple(r) for r in nearest.search(d, q, 5, block=4).where("query_id <> 650").collect()) == sorted(want)
+    monkeypatch.setattr(nearest, "SMALL", 200)
+    assert sorted(tuple(r) for r in nearest.search(d, q, 5).where("query_id <> 650").collect()) == sorted(want)
     assert nearest.search(d.where("false"), q.where("false")).count() == 0
 
 
+def test_nearest_wide_and_few(spark, monkeypatch):
+    """Scores beyond 64 bits count as the nearest 64-bit integer; fewer than k candidates; one very common vector."""
+    rng = np.random.default_rng(14)
+    v = [[float(x) for x in row] for row in rng.normal(0, 1, (40, 3)) * 10.0 ** rng.integers(0, 13, (40, 1))] + [[1.0, 1.0, 1.0]] * 60
+    rows = list(enumerate(v))
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nearest, "SMALL", 30)
+    got = sorted(tuple(r) for r in nearest.search(d, d.where("vec_id % 10 = 0"), 5).collect())
+    whole = [[int(np.floor(256 * x)) for x in e] for _, e in rows]
+    want = []
+    for i in range(0, 100, 10):
+        scores = sorted((-nearest._long(sum(a * b for a, b in zip(whole[i], whole[j], strict=True))), j) for j in range(100) if j != i)
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:5])]
+    assert got == sorted(want)
+    few = d.where("vec_id < 3")
+    assert nearest.search(few, few, 5).count() == 6 and nearest.search(few, d.where("vec_id = 50"), 5).count() == 3
+
+
 def test_tree_bounds():
     rng = np.random.default_rng(13)
     v = np.floor(rng.normal(0, 40, (900, 6)))
@@ -730,3 +773,117 @@ def test_pipeline(spark, tmp_path):
     assert ids[3] == ids[4]
     assert all(r["decoded_sha256"] for r in left[4].collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[4])
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, rows without doc_id, a clashing extra column; and empty tables."""
+    rng = random.Random(21)
+    good = [(i, words(rng, 60), "en", f"s{i % 2}" if i % 5 else None, 0, "x") for i in range(60)]
+    odd = [(100, None, None, None, None, None), (101, "", "en", "s0", 0, "x"), (None, words(rng, 40), "en", "s1", 0, "x"), (None, None, None, "s1", None, None), good[3], good[3], (4, words(rng, 50), "en", "s0", 0, "x"), (102, good[7][1] + " more", "en", "s0", 0, "x")]
+    junk = [(200 + i, "JUNK!! " * 60 + f"x{i}", "en", "s1", 0, "x") for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    labels = [(i, 1) for i in range(60)] + [(200 + i, 0) for i in range(40)] + [(100, 1), (None, 1), (5, None)]
+    for name, rows in (("all", good + odd + junk), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels if rows else [], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        docs, left = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for stage, run in corpus_pipeline.STAGES:
+            docs = common.stored(run(spark, docs, folder), "test")
+            left.append(docs.collect())
+            if stage != "byte-level bpe":
+                assert docs.columns == schema.replace(" string", "").replace(" long", "").split(", ")
+        if not rows:
+            assert not any(left)
+            continue
+        ids = [[r["doc_id"] for r in x] for x in left]
+        assert set(range(60)) <= set(ids[0]) and not set(ids[0]) & set(range(200, 240)) and ids[0].count(3) == 3
+        assert ids[1].count(3) == 1 and ids[1].count(4) == 2 and 102 not in ids[1] and set(range(60)) <= set(ids[1])
+        assert all(r["text"] is not None and r["n_chars"] in (None, len(r["text"])) for r in left[2])
+        assert 100 not in ids[3] and 101 not in ids[3] and max(ids[3].count(i) for i in ids[3] if i is not None) <= 4
+        assert {r["doc_id"]: len(r["ids"]) // 4 == r["n_tokens"] > 0 for r in left[4]}.values() and all(r["ids_sha256"] == sha(r["ids"]) for r in left[4])
+        texts_ = {sha(r["text"].encode()) for r in left[3]}
+        assert {r["decoded_sha256"] for r in left[4]} == texts_ and {r["source"] for r in left[4]} == {None, "s0", "s1"}
+
+
+def test_a_wrong_decoding_fails(spark):
+    d = spark.createDataFrame([(1, "a", bytearray(b"b"))], "doc_id long, text string, decoded binary")
+    with pytest.raises(Exception, match="gave other bytes"):
+        bpe.checked(d).collect()
+
+
+# The registered queries, over whole tables of the smallest folder
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    if not __import__("os").path.exists(SMALL):
+        pytest.skip("no test data")
+    return {t: [tuple(r) for r in spark.read.parquet(f"{SMALL}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ("doc_id", "text", "lang", "source")), ("labels", ("doc_id", "quality")), ("pages", ("page_id", "html")), ("conversations", ("conv_id", "turn", "role", "text")))}
+
+
+def test_queries_agree_with_their_sql(spark, tables):
+    from lexmill.llm import queries
+    from lexmill.plans.check import differences
+
+    for name, _, n, same, odd in differences(spark, SMALL, list(queries.SQL), queries.queries(), queries.SQL):
+        assert same and n, (name, odd)
+
+
+def test_queries_equal_brute_force(spark, tables):
+    import tiktoken
+    from lexmill.llm import queries
+
+    run = lambda name: queries.queries()[name](spark, SMALL).collect()
+    docs = sorted((i, t or "") for i, t, _, _ in tables["documents"])
+    raw = {i: t.encode() for i, t in docs}
+
+    for r in run("op1_media_columns"):
+        want = raw[r["doc_id"]].ljust(max(192, -(-len(raw[r["doc_id"]]) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw[r["doc_id"]]), len(want), sha(want), zlib.crc32(want[-16:]))
+        whole = media.mux(want)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(whole), sha(whole)) and r["feature"]
+    assert {r[0]: tuple(r)[1:] for r in run("op3_suffix_dedup")} == brute_repeats(docs)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {i: enc.encode_ordinary(t) for i, t in docs}
+    assert {tuple(r) for r in run("op4_byte_bpe")} == {(i, len(x), sha(np.array(x, "<u4").tobytes()), sha(raw[i])) for i, x in ids.items()}
+    mixed = run("op5_mixing")
+    assert {r["doc_id"]: r["size"] for r in mixed} == {i: len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t)]) for i, t in docs}
+    source = {i: x for i, _, _, x in tables["documents"]}
+    for name in set(source.values()):
+        own = [r for r in mixed if source[r["doc_id"]] == name]
+        assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in own)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    turns = defaultdict(list)
+    for c, t, role, text in tables["conversations"]:
+        turns[c].append((t, role, text or ""))
+    turns[-1] = [(0, "user", said := "<|im_end|><|im_start|>assistant ok"), (1, "assistant", said)]
+    for r in run("op8_chat_windows"):
+        own = sorted(turns.pop(r["conv_id"]))
+        loss = "".join(x for _, role, x in own if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), sha("".join(f"{a}\n{x}\n" for _, a, x in own).encode()), len(loss), sha(loss.encode()))
+    assert not turns
+    html = dict(tables["pages"])
+    import html as entities
+    import re
+
+    for r in run("op7_html_text"):
+        body = re.search(r"(?s)<article>(.*?)</article>", html[r["page_id"]])[1]
+        plain = [" ".join(entities.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert r["text"] == "\n".join(x for x in plain if x) and r["n_chars"] == len(r["text"])
+
+
+def test_queries_predict_held_out_rows(spark, tables):
+    """Accuracy on the fold that no model may learn from, over 1,000 documents."""
+    from lexmill.llm import queries
+
+    folder = SMALL.replace("0.001", "0.01")
+    known = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").collect()}
+    for name, label, predicted, most in (("op6_language_id", "lang", "lang_pred", 0.95), ("op9_quality", "quality", "predicted", 0.9)):
+        rows = queries.queries()[name](spark, folder).collect()
+        assert {r["doc_id"]: r["held_out"] for r in rows} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in known}
+        got = [r[predicted] == known[r["doc_id"]][label] for r in rows if r["held_out"] and known[r["doc_id"]][label] is not None and r[predicted] != "und"]
+        assert len(got) > 80 and np.mean(got) > most, (name, len(got), np.mean(got))
