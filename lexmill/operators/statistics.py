@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,22 +152,71 @@ def sentence_ngrams(sentences: DataFrame, sizes=(1, 2, 3, 4, 5), terms: str = "t
     return sentences.select(F.explode(made).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("count"))
 
 
-def _hashed(n: int):
-    return lambda z: F.struct(F.lit(n).cast("bigint").alias("n"), F.xxhash64(*[z[f"h{i}"] for i in range(n)]).alias("gram"))
+#: Tokens that are cut into n-grams at once, and the parts that a hash's first bits choose among, for each shuffle partition.
+_AT_ONCE, _PARTS = 1 << 20, 16
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64: one to one, and every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _counted(gram: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if count is None:
+        return np.unique(gram, return_counts=True)
+    order = np.argsort(gram)
+    gram = gram[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.add.reduceat(count[order], first) if len(gram) else count
 
 
 def hashed_ngrams(sentences: DataFrame, sizes=(1, 2, 3, 4, 5), terms: str = "terms") -> DataFrame:
     """n, gram (64 bits of hash), count: as :func:`sentence_ngrams`, for tables that need counts only.
 
-    Words are hashed once and their hashes laid side by side, so no n-gram is built or shuffled as text. With k different
-    grams the chance of any collision is about k² / 2⁶⁵.
+    Words are hashed once and n-grams are made of their hashes, array by array, so none is built or shuffled as text or as a
+    row of its own: what goes on is packed by parts of the hashes' range. With k different grams the chance of any
+    collision is about k² / 2⁶⁵.
     """
-    rows = sentences.select(F.transform(terms, lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-    made = []
-    for n in sizes:
-        beside = F.arrays_zip(*[F.slice("h", i + 1, F.greatest(F.size("h") - (n - 1), F.lit(0))).alias(f"h{i}") for i in range(n)])
-        made.append(F.transform(beside, _hashed(n)))
-    return rows.select(F.explode(F.flatten(F.array(*made))).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("count"))
+    parts = _PARTS * int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = pa.schema([("n", pa.int64()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+    result = pa.schema([("n", pa.int64()), ("gram", pa.int64()), ("count", pa.int64())])
+
+    def cut(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.cumsum(size)
+            row = 0
+            while row < len(size):
+                last = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + _AT_ONCE, "right")))
+                h = values[ends[row] - size[row] : ends[last - 1]]
+                left = np.repeat(ends[row:last] - (ends[row] - size[row]), size[row:last]) - np.arange(len(h))  # tokens from here to the sentence's end
+                gram = _mixed(h)
+                for n in range(1, max(sizes) + 1):
+                    if n > 1:
+                        gram = _mixed(gram[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :])
+                    if len(h) < n:
+                        break
+                    if n not in sizes:
+                        continue
+                    own, count = _counted(gram[left[: len(gram)] >= n])
+                    part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(own) else np.zeros(0, np.int64)
+                    bounds = [*begins.tolist(), len(own)]
+                    count = count.astype(np.int64)
+                    made = [(own[i:j].tobytes(), count[i:j].tobytes()) for i, j in zip(bounds, bounds[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(made), pa.int64()), pa.array(part[begins].astype(np.int32)), pa.array([g for g, _ in made], pa.binary()), pa.array([c for _, c in made], pa.binary())], schema=packed)
+                row = last
+
+    def count(key, table):
+        grams, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("grams", np.uint64), ("counts", np.int64)))
+        own, sums = _counted(grams, counts)
+        return pa.table([pa.array(np.full(len(own), key[0].as_py(), np.int64)), pa.array(own.view(np.int64)), pa.array(sums)], schema=result)
+
+    rows = sentences.select(F.transform(terms, lambda w: F.xxhash64(w)).alias("h")).mapInArrow(cut, "n long, part int, grams binary, counts binary")
+    return rows.groupBy("n", "part").applyInArrow(count, "n long, gram long, count long")
 
 
 def ngram_summary(grams: DataFrame) -> DataFrame:
