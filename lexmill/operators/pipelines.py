@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexicon
 from lexmill.functions import text as T
+from lexmill.functions.stem import STEMMERS
 
 
 def lemmas(words: Column, lemma=T.rule_lemma) -> Column:
@@ -15,7 +19,10 @@ def lemmas(words: Column, lemma=T.rule_lemma) -> Column:
 
 def final(text, lemma=T.rule_lemma) -> Column:
     """B: lemmas, then custom stop words dropped by surface form."""
-    words = T.content_tokens(text)
+    return _final(T.content_tokens(text), lemma)
+
+
+def _final(words: Column, lemma=T.rule_lemma) -> Column:
     return F.transform(F.filter(words, lambda w: ~w.isin(*lexicon.CUSTOM_STOPWORDS)), lemma)
 
 
@@ -35,16 +42,24 @@ def stopped(text) -> Column:
 
 
 PIPELINES = {"B": final, "B reordered": reordered, "C": lemmas_only, "A (unstemmed)": stopped}
+#: The same from content tokens to terms.
+_OF_WORDS = {"B": _final, "B reordered": lambda w: lemmas(T.without(w, lexicon.CUSTOM_STOPWORDS)), "C": lemmas, "A (unstemmed)": lambda w: T.without(w, lexicon.ENGLISH_STOPWORDS)}
 
 
 def stemmed(docs: DataFrame, stemmer: str = "Snowball", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A: (key, terms): stop words dropped, stems joined back from the distinct words."""
-    from lexmill.functions.stem import stem_table
+    """A: (key, terms): stop words dropped, then the stems of each batch's distinct words put in their places; nothing is shuffled."""
+    fn = STEMMERS[stemmer]
+
+    def cut(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().dictionary_encode()
+            stems = pa.array([fn(w) for w in words.dictionary.to_pylist()], pa.string())
+            ends = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), stems.take(words.indices))], [key, "terms"])
 
-    each = docs.select(key, F.posexplode(stopped(text)).alias("i", "word"))
-    stems = stem_table(each, stemmer)
-    joined = each.join(stems, "word").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "stem"))), lambda x: x["stem"]).alias("terms"))
-    return docs.select(key).join(joined, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    rows = docs.select(key, F.coalesce(stopped(text), F.array().cast("array<string>")).alias("terms"))
+    return rows.mapInArrow(cut, rows.schema)
 
 
 def trace(text, lemma=T.rule_lemma) -> Column:
@@ -64,11 +79,11 @@ def trace(text, lemma=T.rule_lemma) -> Column:
 
 def compare(docs: DataFrame, words: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Tokens kept, vocabulary and (given a list ``word``) readable share of each pipeline."""
-    made = None
-    for name, fn in PIPELINES.items():
-        part = docs.select(F.lit(name).alias("pipeline"), F.explode(fn(text)).alias("term"))
-        made = part if made is None else made.unionByName(part)
-    counts = made.groupBy("pipeline", "term").agg(F.count("*").alias("n"))
+    # Each of these goes word by word, so it is applied to the distinct words.
+    found = docs.select(F.explode(T.content_tokens(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(name).alias("pipeline"), fn(F.array("word")).alias("terms")) for name, fn in _OF_WORDS.items()])
+    made = found.select("n", F.explode(each).alias("x")).select("n", "x.pipeline", F.explode("x.terms").alias("term"))
+    counts = made.groupBy("pipeline", "term").agg(F.sum("n").alias("n"))
     if words is not None:
         counts = counts.join(words.select(F.col("word").alias("term"), F.lit(1).alias("known")).distinct(), "term", "left")
     else:
