@@ -128,11 +128,36 @@ def bag_score(gold: DataFrame, pred: DataFrame, keys: list[str], by: list[str] |
     p = pred.groupBy(*keys).agg(F.count("*").alias("p"))
     rows = g.join(p, keys, "full_outer").na.fill(0, ["g", "p"])
     s = rows.groupBy(*(by or [])).agg(F.sum(F.least("g", "p")).alias("correct"), F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("incorrect"), F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("missed"))
+    return _measures(s)
+
+
+def _measures(s: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     s = s.withColumn("precision", ratio(F.col("correct"), F.col("correct") + F.col("incorrect"))).withColumn("recall", ratio(F.col("correct"), F.col("correct") + F.col("missed")))
     return s.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def stem_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`bag_score` of a document's content terms against their light stems, by document and term, without a row a token.
+
+    A term that stays as it is is correct, as its stem comes at least as often; so only terms that a stem changes have to be
+    counted, and only in documents where one of them is also another's stem.
+    """
+    rows = docs.groupBy(key).agg(F.collect_list(text).alias("texts")).select(key, F.flatten(F.transform("texts", T.content_tokens)).alias("t"))
+    rows = rows.select(key, F.size("t").alias("n"), F.filter("t", T.may_stem).alias("t"))
+    rows = rows.select(key, "n", F.filter(F.transform("t", lambda w: F.struct(w.alias("w"), T.light_stem(w).alias("s"))), lambda x: x["w"] != x["s"]).alias("m"))
+    rows = rows.select(key, "n", F.col("m.w").alias("w"), F.col("m.s").alias("s"))
+    one = lambda term, g, p, n, same: F.struct(term.alias("term"), g.cast("bigint").alias("g"), p.cast("bigint").alias("p"), n.cast("bigint").alias("n"), same.cast("bigint").alias("same"))
+    zero, unit = F.lit(0), F.lit(1)
+    # Rows without a key meet none, as in a join.
+    whole = F.array(one(F.lit(None).cast("string"), zero, zero, F.col("n"), F.when(F.col(key).isNull(), 0).otherwise(F.col("n") - F.size("w"))))
+    parts = F.concat(F.transform("w", lambda x: one(x, unit, zero, zero, zero)), F.transform("s", lambda x: one(x, zero, unit, zero, zero)))
+    each = rows.select(key, F.inline(F.concat(whole, F.when(F.col(key).isNotNull() & F.arrays_overlap("w", "s"), parts).otherwise(F.filter(parts, lambda _: F.lit(False))))))
+    sums = each.groupBy(key, "term").agg(*[F.sum(c).alias(c) for c in ("g", "p", "n", "same")])
+    s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("correct", F.least("g", "p") + F.col("same")), ("n", F.col("n")))])
+    return _measures(s.select("correct", (F.col("n") - F.col("correct")).alias("incorrect"), (F.col("n") - F.col("correct")).alias("missed")))
+
+
 def entity_table(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """Each mention once: Correct, Incorrect or Missed; repeated mentions are matched in number."""
     order = Window.partitionBy(*keys).orderBy(F.lit(0))
