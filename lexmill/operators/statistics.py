@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import lexicon, patterns
 from lexmill.functions import text as T
+from lexmill.sources import scratch
 
 
 def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,6 +174,58 @@ def _counted(gram: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndar
     return gram[first], np.add.reduceat(count[order], first) if len(gram) else count
 
 
+def _windows(lists: pa.ListArray, sizes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """n, place of the first token, hashes of tokens, hashes of n-grams and where they begin, for a few sentences' hashes at once."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.cumsum(size)
+    row = 0
+    while row < len(size):
+        last = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + _AT_ONCE, "right")))
+        first = int(ends[row] - size[row])
+        h = values[first : ends[last - 1]]
+        left = np.repeat(ends[row:last] - first, size[row:last]) - np.arange(len(h))  # tokens from here to the sentence's end
+        gram = _mixed(h)
+        for n in range(1, max(sizes) + 1):
+            if n > 1:
+                gram = _mixed(gram[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :])
+            if len(h) < n:
+                break
+            if n in sizes:
+                at = np.flatnonzero(left[: len(gram)] >= n)
+                yield n, first, h, gram[at], at
+        row = last
+
+
+def _packed(sentences: DataFrame, sizes, terms: str, stop: np.ndarray | None = None) -> DataFrame:
+    """n, part, grams, counts: hashes of n-grams and their counts, packed by parts of the hashes' range; without those that begin or end with a hash of ``stop``."""
+    parts = _PARTS * int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = pa.schema([("n", pa.int64()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+    def cut(batches):
+        for batch in batches:
+            for n, _, h, gram, at in _windows(batch.column(0), sizes):
+                if stop is not None:
+                    out = np.isin(h, stop)
+                    gram = gram[~out[at] & ~out[at + n - 1]]
+                own, count = _counted(gram)
+                part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(own) else np.zeros(0, np.int64)
+                bounds = [*begins.tolist(), len(own)]
+                count = count.astype(np.int64)
+                made = [(own[i:j].tobytes(), count[i:j].tobytes()) for i, j in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(made), pa.int64()), pa.array(part[begins].astype(np.int32)), pa.array([g for g, _ in made], pa.binary()), pa.array([c for _, c in made], pa.binary())], schema=packed)
+
+    return sentences.select(_hashes(terms).alias("h")).mapInArrow(cut, "n long, part int, grams binary, counts binary")
+
+
+def _hashes(terms: str) -> Column:
+    return F.transform(terms, lambda w: F.xxhash64(w))
+
+
+def _sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _counted(*(np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("grams", np.uint64), ("counts", np.int64))))
+
+
 def hashed_ngrams(sentences: DataFrame, sizes=(1, 2, 3, 4, 5), terms: str = "terms") -> DataFrame:
     """n, gram (64 bits of hash), count: as :func:`sentence_ngrams`, for tables that need counts only.
 
@@ -179,44 +233,73 @@ def hashed_ngrams(sentences: DataFrame, sizes=(1, 2, 3, 4, 5), terms: str = "ter
     row of its own: what goes on is packed by parts of the hashes' range. With k different grams the chance of any
     collision is about k² / 2⁶⁵.
     """
-    parts = _PARTS * int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = pa.schema([("n", pa.int64()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
     result = pa.schema([("n", pa.int64()), ("gram", pa.int64()), ("count", pa.int64())])
 
-    def cut(batches):
-        for batch in batches:
-            lists = batch.column(0)
-            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.cumsum(size)
-            row = 0
-            while row < len(size):
-                last = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + _AT_ONCE, "right")))
-                h = values[ends[row] - size[row] : ends[last - 1]]
-                left = np.repeat(ends[row:last] - (ends[row] - size[row]), size[row:last]) - np.arange(len(h))  # tokens from here to the sentence's end
-                gram = _mixed(h)
-                for n in range(1, max(sizes) + 1):
-                    if n > 1:
-                        gram = _mixed(gram[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :])
-                    if len(h) < n:
-                        break
-                    if n not in sizes:
-                        continue
-                    own, count = _counted(gram[left[: len(gram)] >= n])
-                    part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(own) else np.zeros(0, np.int64)
-                    bounds = [*begins.tolist(), len(own)]
-                    count = count.astype(np.int64)
-                    made = [(own[i:j].tobytes(), count[i:j].tobytes()) for i, j in zip(bounds, bounds[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(made), pa.int64()), pa.array(part[begins].astype(np.int32)), pa.array([g for g, _ in made], pa.binary()), pa.array([c for _, c in made], pa.binary())], schema=packed)
-                row = last
-
     def count(key, table):
-        grams, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("grams", np.uint64), ("counts", np.int64)))
-        own, sums = _counted(grams, counts)
+        own, sums = _sums(table)
         return pa.table([pa.array(np.full(len(own), key[0].as_py(), np.int64)), pa.array(own.view(np.int64)), pa.array(sums)], schema=result)
 
-    rows = sentences.select(F.transform(terms, lambda w: F.xxhash64(w)).alias("h")).mapInArrow(cut, "n long, part int, grams binary, counts binary")
-    return rows.groupBy("n", "part").applyInArrow(count, "n long, gram long, count long")
+    return _packed(sentences, sizes, terms).groupBy("n", "part").applyInArrow(count, "n long, gram long, count long")
+
+
+#: Hashes of n-grams whose text is looked for in one pass.
+_NAMED = 1 << 20
+
+
+def top_phrases(sentences: DataFrame, k: int = 10, sizes=(1, 2, 3, 4, 5), stop: tuple[str, ...] = lexicon.CUSTOM_STOPWORDS, terms: str = "terms") -> DataFrame:
+    """n, gram, count: :func:`top_grams` of :func:`phrase_grams`; n-grams are counted by hashes, and only those that can be among the k are written out.
+
+    ``sentences`` is read twice, and more often only where very many n-grams are as frequent as the k-th.
+    """
+    spark = sentences.sparkSession
+    hashed = np.array(spark.range(1).select(F.array(*[F.xxhash64(F.lit(w)) for w in stop]).cast("array<bigint>").alias("h")).first()["h"], np.int64).view(np.uint64)
+    result = pa.schema([("n", pa.int64()), ("gram", pa.int64()), ("count", pa.int64()), ("first", pa.bool_())])
+
+    def count(key, table):
+        # What a part has less often than its own k-th isn't among the k of all parts.
+        own, sums = _sums(table)
+        order = np.argsort(-sums, kind="stable")
+        order = order[sums[order] >= sums[order[min(k, len(order)) - 1]]]
+        return pa.table([pa.array(np.full(len(order), key[0].as_py(), np.int64)), pa.array(own[order].view(np.int64)), pa.array(sums[order]), pa.array(np.arange(len(order)) < k)], schema=result)
+
+    path = scratch.new_path(spark, "phrases")
+    _packed(sentences, sizes, terms, hashed).groupBy("n", "part").applyInArrow(count, "n long, gram long, count long, first boolean").write.parquet(path)
+    best = spark.read.parquet(path)
+    least = {r["n"]: r["c"][: k][-1] for r in best.where("first").groupBy("n").agg(F.slice(F.sort_array(F.collect_list("count"), False), 1, k).alias("c")).collect()}
+    rows = best.where(reduce(lambda a, b: a | b, [(F.col("n") == n) & (F.col("count") >= c) for n, c in least.items()], F.lit(False)))
+    passes = -(-rows.count() // _NAMED)
+    kept = "n long, gram string, count long"
+    done = spark.createDataFrame([], kept)
+    named = pa.schema([("n", pa.int64()), ("gram", pa.string()), ("count", pa.int64())])
+    for i in range(passes):
+        wanted = {}
+        found = rows.where(F.pmod("gram", F.lit(passes)) == i).select("n", "gram", "count").toArrow()
+        n_, gram_, count_ = (found.column(c).to_numpy() for c in ("n", "gram", "count"))
+        for n in least:
+            own, sums = gram_[n_ == n].view(np.uint64), count_[n_ == n]
+            order = np.argsort(own)
+            wanted[n] = own[order], sums[order]
+        shared = spark.sparkContext.broadcast(wanted)
+
+        def name(batches, shared=shared):
+            for batch in batches:
+                words = batch.column(1).flatten()
+                for n, first, h, gram, at in _windows(batch.column(0), sizes):
+                    own, sums = shared.value.get(n, (np.zeros(0, np.uint64), None))
+                    if not len(own):
+                        continue
+                    place = np.minimum(np.searchsorted(own, gram), len(own) - 1)
+                    hit = own[place] == gram
+                    out = np.isin(h, hashed)
+                    hit &= ~out[at] & ~out[at + n - 1]
+                    place, once = np.unique(place[hit], return_index=True)
+                    begins = first + at[hit][once]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(place), pa.int64()), pa.array([" ".join(words.slice(b, n).to_pylist()) for b in begins.tolist()], pa.string()), pa.array(sums[place])], schema=named)
+
+        made = sentences.select(_hashes(terms).alias("h"), terms).mapInArrow(name, kept).groupBy("n", "gram").agg(F.max("count").alias("count"))
+        top = made.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("count"), "gram"))).where(F.col("r") <= k).drop("r")
+        done = done.unionByName(spark.createDataFrame(top.collect(), kept))
+    return done.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("count"), "gram"))).where(F.col("r") <= k).drop("r")
 
 
 def ngram_summary(grams: DataFrame) -> DataFrame:
